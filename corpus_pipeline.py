@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.quality import keep_quality
+from quadrille.llm.simhash import keep_one_of_each
 from quadrille.llm.spark_io import table, written
 
 
@@ -12,7 +13,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keep_quality(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one_of_each(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates)]
 
 #: The later stages can't be said in SQL; tests hold them against brute force.
 ORACLE_SQL: str | None = None

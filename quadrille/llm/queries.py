@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.quality import Limits, quality_measures
+from quadrille.llm.simhash import simhash_components
 from quadrille.llm.spark_io import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +60,8 @@ def _covered(m: int) -> str:
 )
 def op4_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_measures(table(spark, sf_dir, "documents", ["doc_id", "text"])).drop("longest_repeat")
+
+
+@query("op5_simhash_pivots")
+def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents", ["doc_id", "text"]))
