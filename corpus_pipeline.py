@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quadrille.llm.dedup import cut_repeats
 from quadrille.llm.quality import keep_quality
 from quadrille.llm.simhash import keep_one_of_each
 from quadrille.llm.spark_io import table, written
@@ -17,7 +18,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return keep_one_of_each(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates)]
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return cut_repeats(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages)]
 
 #: The later stages can't be said in SQL; tests hold them against brute force.
 ORACLE_SQL: str | None = None

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quadrille.llm.dedup import repeated_bytes, repeated_words
 from quadrille.llm.quality import Limits, quality_measures
 from quadrille.llm.simhash import simhash_components
 from quadrille.llm.spark_io import table
@@ -65,3 +66,27 @@ def op4_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_simhash_pivots")
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@query("op6_bucket_pointer_dedup")
+def op6_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+@query(
+    "op7_fm_index_dedup",
+    f"""
+    WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    win AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 19), ' ')) AS h FROM (
+      SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
+    lists AS (SELECT doc_id, count(*) AS n, list(p) AS ps FROM gone GROUP BY doc_id),
+    kept AS (SELECT d.doc_id, string_agg(x.word, ' ' ORDER BY x.p) AS t FROM (
+        SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) x
+      JOIN d ON x.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = x.doc_id AND gone.p = x.p WHERE gone.p IS NULL GROUP BY d.doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(lists.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+    FROM d LEFT JOIN lists ON d.doc_id = lists.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id""",
+)
+def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(table(spark, sf_dir, "documents", ["doc_id", "text"]))
