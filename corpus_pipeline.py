@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.dedup import cut_repeats
+from quadrille.llm.leaks import drop_leaks
 from quadrille.llm.quality import keep_quality
 from quadrille.llm.simhash import keep_one_of_each
 from quadrille.llm.spark_io import table, written
@@ -22,7 +23,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return cut_repeats(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("decontamination", decontamination),
+]
 
 #: The later stages can't be said in SQL; tests hold them against brute force.
 ORACLE_SQL: str | None = None
