@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quadrille.llm.arrays import gather, text_chunks
+from quadrille.llm.spark_io import frugal
 from quadrille.llm.suffixes import dense, pointed, refine
 from quadrille.llm.wavelet import FMIndex
 from quadrille.llm.windows import CHUNK, REPEATS, Windows, covered_of, repeats, told, with_repeats
@@ -82,6 +83,7 @@ def index_search(code: np.ndarray, offsets: np.ndarray, n_starts: np.ndarray, le
 def _removed(df: DataFrame, w: Windows, search, name: str, id_col: str, text_col: str, columns: list[str], last, schema) -> DataFrame:
     found, parts = repeats(df, w, search, name, id_col, text_col)
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, batch in told(batches, REPEATS, ("doc", "t", "s", "e")):
             body = batch.column(batch.num_columns - 1)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.arrays import Words, text_chunks
+from quadrille.llm.spark_io import frugal
 
 BUCKETS = 1 << 17
 STRIDE = 8
@@ -50,6 +51,7 @@ class Rules:
 def document_frequencies(df: DataFrame, text_col: str) -> tuple[np.ndarray, int]:
     """By hashed word: in how many texts; and the number of texts. Summed over all rows before it is collected."""
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(BUCKETS, dtype=np.int64), 0
         for batch in batches:
@@ -270,6 +272,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     for block in blocks(df, benchmark, text_col, item_col, item_text, rules):
         shared = spark.sparkContext.broadcast(block)
 
+        @frugal
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block = shared.value
             for batch in batches:
@@ -295,6 +298,7 @@ def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     for block in blocks(source, benchmark, text_col, item_col, item_text, rules):
         shared = df.sparkSession.sparkContext.broadcast(block)
 
+        @frugal
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)

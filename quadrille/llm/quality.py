@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quadrille.llm.arrays import Rolling, Words, byte_symbols, covered, mix, sums, text_chunks
+from quadrille.llm.spark_io import frugal
 from quadrille.llm.suffixes import longest_shared
 
 #: Characters that count as symbols.
@@ -94,6 +95,7 @@ def _duplicate_lines(data: np.ndarray, offsets: np.ndarray, words: Words) -> np.
 def quality_measures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row for each row of df: its id, the measures and the verdict. One scan, no shuffle."""
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = measure(batch.column(1), limits)
@@ -107,6 +109,7 @@ def keep_quality(df: DataFrame, text_col: str = "text", limits: Limits = Limits(
     """The rows of df whose text passes, with all their columns."""
     at = df.columns.index(text_col)
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(measure(batch.column(at), limits)["kept"]))

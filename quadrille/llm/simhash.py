@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.arrays import LOWER, Words, gather, text_chunks
 from quadrille.llm.components import join_labels, stars
-from quadrille.llm.spark_io import partitions, written
+from quadrille.llm.spark_io import frugal, partitions, written
 
 SHINGLE, DISTANCE, SEED, PIVOTS = 3, 3, 42, 24
 #: Five blocks cover 64 bits; three differing bits leave at least two blocks alike.
@@ -62,6 +62,7 @@ def _fingerprint_chunk(data: np.ndarray, offsets: np.ndarray, shingle: int) -> n
 def with_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp long): one row for each row of df, by one scan."""
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprints(batch.column(1), shingle).view(np.int64))], names=[id_col, "fp"])
@@ -113,6 +114,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
     if distance > 3:
         raise ValueError("five blocks, taken two at a time, find up to three differing bits")
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_k, held_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
 

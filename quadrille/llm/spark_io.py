@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -37,3 +41,27 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 def partitions(df: DataFrame) -> int:
     """Partitions for what is as large as the input: as many as it is read in, and no fewer than for any shuffle."""
     return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def frugal(rows):
+    """For a function of Arrow batches: when its task ends, the worker, which serves many tasks, returns what it freed."""
+
+    @functools.wraps(rows)
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # not the GNU C library
+                pass
+
+    return run
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts can be long: tasks get them a thousand at a time, unless the session already asks for fewer."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)

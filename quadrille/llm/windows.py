@@ -14,7 +14,7 @@ consecutive windows mostly share one. What travels is a *run*: the windows aroun
 5. The texts are dealt again, with their repeats, to the operator's last step.
 
 Rows of the shuffles are sorted arrays of many runs, as bytes; tasks hold arrays, not objects.
-Anchors and runs are compared by 64 bits each, so 128 bits stand for a run.
+Anchors are compared by 48 bits and runs by 64, so 112 bits stand for a run.
 
 The order of windows is (id, hash of the text, start), a null id last. Rows with the same id and
 text are one document: they neither repeat each other nor differ in what they get.
@@ -30,15 +30,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.arrays import Rolling, Words, byte_symbols, mix, ranges, text_chunks
-from quadrille.llm.spark_io import partitions, written
+from quadrille.llm.spark_io import frugal, partitions, written
 
 NULL_ID = (1 << 63) - 1
 CLASSES, REPEATS, ASKED, PASSAGES, TEXT = 0, 1, 2, 3, 9
-BLOBS = {"doc": np.int64, "t": np.int64, "s": np.int32, "e": np.int32, "h": np.uint64, "g": np.uint64}
+BLOBS = {"doc": np.int64, "t": np.int32, "s": np.int32, "e": np.int32, "h": np.uint64, "g": np.uint64}
 SCHEMA = "k int, kind int, doc binary, t binary, s binary, e binary, h binary, g binary, c binary"
 #: Runs that a scan task holds before it hands on those it has.
-HELD_RUNS = 1_500_000
-CHUNK = 1 << 20
+HELD_RUNS = 300_000
+CHUNK = 1 << 19
+
+
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes, and so on: small numbers leave planes of zeros, which shuffle files compress away."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
 @dataclass(frozen=True)
@@ -71,9 +81,11 @@ def runs(symbols: np.ndarray, first: np.ndarray, w: Windows) -> dict[str, np.nda
     if n < w.length:
         return empty
     rolling = Rolling(symbols)
-    grams = rolling.every(w.gram)
-    places = np.uint64((1 << int(n).bit_length()) - 1)
-    least = (grams & ~places) | np.arange(len(grams), dtype=np.uint64)
+    grams = rolling.every(w.gram) >> np.uint64(16)
+    # hash above, place below: the leftmost of the smallest wins
+    bits = np.uint64(int(n).bit_length())
+    places = (np.uint64(1) << bits) - np.uint64(1)
+    least = (mix(grams) & ~places) | np.arange(len(grams), dtype=np.uint64)
     width, span = 1, w.length - w.gram + 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
@@ -135,14 +147,16 @@ def by_anchor(run: dict[str, np.ndarray], parts: int) -> np.ndarray:
 
 def packed(kind: int, k: np.ndarray, run: dict[str, np.ndarray], codes: tuple[np.ndarray, np.ndarray] | None = None) -> pa.RecordBatch:
     """One row for each k: the arrays of its items, in order. codes: all passages and their offsets."""
-    order = np.argsort(k, kind="stable")
+    order = np.lexsort((run["s"], run["doc"], k))
     ks, at = np.unique(k[order], return_index=True)
     stops = np.append(at[1:], len(order))
     columns = {c: [None] * len(ks) for c in (*BLOBS, "c")}
     for c, kind_of in BLOBS.items():
         if c in run:
             values = run[c].astype(kind_of, copy=False)[order]
-            columns[c] = [values[a:b].tobytes() for a, b in zip(at, stops)]
+            if c == "e":
+                values = values - run["s"][order].astype(kind_of, copy=False)
+            columns[c] = [planes(np.diff(values[a:b], prepend=0) if c == "doc" else values[a:b]) for a, b in zip(at, stops)]
     if codes is not None:
         data, offsets = codes
         lengths = np.diff(offsets)[order]
@@ -158,17 +172,29 @@ def packed(kind: int, k: np.ndarray, run: dict[str, np.ndarray], codes: tuple[np
 def unpacked(batch: pa.RecordBatch, names: tuple[str, ...], kind: int) -> list[dict[str, np.ndarray]]:
     columns = {c: batch.column(batch.schema.get_field_index(c)) for c in (*names, "kind")}
     rows = np.flatnonzero(columns["kind"].to_numpy(zero_copy_only=False) == kind)
-    return [{c: np.frombuffer(columns[c][int(r)].as_py(), BLOBS[c]) for c in names} for r in rows]
+    out = []
+    for r in rows:
+        part = {c: from_planes(columns[c][int(r)].as_py(), BLOBS[c]) for c in names}
+        part["doc"] = np.cumsum(part["doc"])
+        part["e"] = part["s"] + part["e"]
+        out.append(part)
+    return out
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     """(k, doc, t, text): the order of a document, and the shard that holds what concerns it."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    t = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return df.select(F.pmod(doc.bitwiseXOR(t), F.lit(parts)).cast("int").alias("k"), doc.alias("doc"), t.alias("t"), F.col(text_col).alias("text"))
+    t = text_order(text_col)
+    return df.select(F.pmod(doc.bitwiseXOR(t.cast("long")), F.lit(parts)).cast("int").alias("k"), doc.alias("doc"), t.alias("t"), F.col(text_col).alias("text"))
+
+
+def text_order(text_col: str):
+    """32 bits of the text's hash: they tell rows of one id apart, no more."""
+    return F.shiftright(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 32).cast("int")
 
 
 def scanned(docs: DataFrame, w: Windows, parts: int) -> DataFrame:
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -198,6 +224,7 @@ def scanned(docs: DataFrame, w: Windows, parts: int) -> DataFrame:
 def met(runs_of_all: DataFrame, parts: int) -> DataFrame:
     """Classes meet by anchor; repeats pass through."""
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
@@ -259,6 +286,7 @@ def told(batches: Iterator[pa.RecordBatch], kind: int, names: tuple[str, ...]) -
 def passages(docs: DataFrame, asked: DataFrame, w: Windows, parts: int) -> DataFrame:
     """The symbols of the runs that were asked for, dealt by anchor."""
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held, batch in told(batches, ASKED, ("doc", "t", "s", "e", "h")):
             body = batch.column(batch.num_columns - 1)
@@ -287,6 +315,7 @@ Search = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 def searched(found: DataFrame, w: Windows, search: Search, parts: int) -> DataFrame:
     """Repeats inside shards of passages, by the operator's own method."""
 
+    @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, code = [], []
         for batch in batches:
@@ -341,7 +370,7 @@ def covered_of(held: Held, doc: int, t: int, n: int, length: int) -> np.ndarray:
 def with_repeats(df: DataFrame, found: DataFrame, parts: int, id_col: str, text_col: str, columns: list[str]) -> DataFrame:
     """Rows for the last step: body holds doc, t and the columns of df."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    t = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    t = text_order(text_col)
     body = F.struct(doc.alias("doc"), t.alias("t"), F.struct(*columns).alias("row"))
-    texts = df.select(F.pmod(doc.bitwiseXOR(t), F.lit(parts)).cast("int").alias("k"), body.alias("body"))
+    texts = df.select(F.pmod(doc.bitwiseXOR(t.cast("long")), F.lit(parts)).cast("int").alias("k"), body.alias("body"))
     return beside(texts, found, "body")
