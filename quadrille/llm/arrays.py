@@ -57,7 +57,7 @@ class Rolling:
 
     def __init__(self, symbols: np.ndarray):
         n = len(symbols)
-        forward, self._backward = _powers(max(21, int(n + 1).bit_length()))
+        forward, self._backward = _powers(max(20, int(n + 1).bit_length()))
         self._prefix = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum(symbols * forward[:n], out=self._prefix[1:])
 

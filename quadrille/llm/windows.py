@@ -38,6 +38,8 @@ BLOBS = {"doc": np.int64, "t": np.int32, "s": np.int32, "e": np.int32, "h": np.u
 SCHEMA = "k int, kind int, doc binary, t binary, s binary, e binary, h binary, g binary, c binary"
 #: Runs that a scan task holds before it hands on those it has.
 HELD_RUNS = 300_000
+#: Bytes of passages that a task holds before it hands them on.
+HELD_PASSAGES = 8 << 20
 CHUNK = 1 << 19
 
 
@@ -221,28 +223,52 @@ def scanned(docs: DataFrame, w: Windows, parts: int) -> DataFrame:
     return docs.mapInArrow(rows, SCHEMA)
 
 
+def shard_by_shard(df: DataFrame) -> DataFrame:
+    """Shards dealt to tasks, in which each stands together: a task holds one at a time."""
+    return df.repartition(partitions(df), "k").sortWithinPartitions("k")
+
+
+def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """The rows of each shard, from rows sorted by shard."""
+    held, last = [], None
+    for batch in batches:
+        ks = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(ks[1:] != ks[:-1]) + 1).tolist(), len(ks)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if held and ks[a] != last:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = ks[a]
+    if held:
+        yield held
+
+
 def met(runs_of_all: DataFrame, parts: int) -> DataFrame:
     """Classes meet by anchor; repeats pass through."""
 
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            held += unpacked(batch, ("doc", "t", "s", "e", "h", "g"), CLASSES)
-            through = batch.filter(pa.array(batch.column(1).to_numpy(zero_copy_only=False) == REPEATS))
-            if through.num_rows:
-                yield through
-        if held:
-            firsts, later, shared = classes(concatenated(held, ("doc", "t", "s", "e", "h", "g")))
-            del held
-            if len(later["s"]):
-                later = {c: later[c] for c in ("doc", "t", "s", "e")}
-                yield packed(REPEATS, by_document(later, parts), later)
-            if shared.any():
-                asked = {c: firsts[c][shared] for c in ("doc", "t", "s", "e", "h")}
-                yield packed(ASKED, by_document(asked, parts), asked)
-
-    return runs_of_all.repartition(partitions(runs_of_all), "k").mapInArrow(rows, SCHEMA)
+        for shard in shards(batches):
+            held = []
+            for batch in shard:
+                held += unpacked(batch, ("doc", "t", "s", "e", "h", "g"), CLASSES)
+                through = batch.filter(pa.array(batch.column(1).to_numpy(zero_copy_only=False) == REPEATS))
+                if through.num_rows:
+                    yield through
+            del shard
+            if held:
+                firsts, later, shared = classes(concatenated(held, ("doc", "t", "s", "e", "h", "g")))
+                if len(later["s"]):
+                    later = {c: later[c] for c in ("doc", "t", "s", "e")}
+                    yield packed(REPEATS, by_document(later, parts), later)
+                if shared.any():
+                    asked = {c: firsts[c][shared] for c in ("doc", "t", "s", "e", "h")}
+                    yield packed(ASKED, by_document(asked, parts), asked)
+
+    return shard_by_shard(runs_of_all).mapInArrow(rows, SCHEMA)
 
 
 class Held:
@@ -288,6 +314,15 @@ def passages(docs: DataFrame, asked: DataFrame, w: Windows, parts: int) -> DataF
 
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[dict[str, np.ndarray]] = []
+        codes: list[np.ndarray] = []
+        size = 0
+
+        def hand_on():
+            run = concatenated(found, ("doc", "t", "s", "e", "h"))
+            lengths = (run["e"] - run["s"]).astype(np.int64) + (w.length - 1)
+            return packed(PASSAGES, by_anchor(run, parts), run, (np.concatenate(codes), np.concatenate(([0], np.cumsum(lengths)))))
+
         for held, batch in told(batches, ASKED, ("doc", "t", "s", "e", "h")):
             body = batch.column(batch.num_columns - 1)
             doc, t, texts = (body.field(i) for i in range(3))
@@ -301,8 +336,14 @@ def passages(docs: DataFrame, asked: DataFrame, w: Windows, parts: int) -> DataF
                 begin = np.repeat(first[:-1], [b - a for a, b in spans])
                 run = {c: v[items] for c, v in held.run.items()}
                 starts, stops = begin + run["s"], begin + run["e"] + w.length - 1
-                code = w.code(symbols, data)[ranges(starts, stops - starts)]
-                yield packed(PASSAGES, by_anchor(run, parts), run, (code, np.concatenate(([0], np.cumsum(stops - starts)))))
+                found.append(run)
+                codes.append(w.code(symbols, data)[ranges(starts, stops - starts)])
+                size += codes[-1].nbytes
+                if size > HELD_PASSAGES:
+                    yield hand_on()
+                    found, codes, size = [], [], 0
+        if size:
+            yield hand_on()
 
     bodies = docs.select("k", F.struct("doc", "t", "text").alias("body"))
     return beside(bodies, asked.where(f"kind = {ASKED}"), "body").mapInArrow(rows, SCHEMA)
@@ -312,41 +353,45 @@ def passages(docs: DataFrame, asked: DataFrame, w: Windows, parts: int) -> DataF
 Search = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
 
+def _later_windows(shard: list[pa.RecordBatch], w: Windows, search: Search) -> dict[str, np.ndarray]:
+    """Ranges of window starts, in a shard of passages, that agree with an earlier one."""
+    held, code = [], []
+    for batch in shard:
+        held += unpacked(batch, ("doc", "t", "s", "e"), PASSAGES)
+        code += [np.frombuffer(x.as_py(), w.code_type) for x in batch.column(batch.schema.get_field_index("c"))]
+    run = concatenated(held, ("doc", "t", "s", "e"))
+    code = np.concatenate(code)
+    n_starts = (run["e"] - run["s"]).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(n_starts + w.length - 1)))
+    which = search(code, offsets, n_starts, w.length)
+    passage = np.repeat(np.arange(len(n_starts)), n_starts)
+    start = run["s"][passage] + (np.arange(len(passage)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts))
+    tied = np.flatnonzero(which >= 0)
+    doc, t, s, which = run["doc"][passage[tied]], run["t"][passage[tied]], start[tied], which[tied]
+    order = np.lexsort((s, t, doc, which))
+    first = np.ones(len(order), dtype=bool)
+    first[1:] = which[order][1:] != which[order][:-1]
+    later = order[~first]
+    # neighbouring starts of one document become one range
+    order = later[np.lexsort((s[later], t[later], doc[later]))]
+    doc, t, s = doc[order], t[order], s[order]
+    fresh = np.ones(len(order), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + 1)
+    last = np.append(np.flatnonzero(fresh)[1:] - 1, len(order) - 1) if len(order) else np.zeros(0, np.int64)
+    return {"doc": doc[fresh], "t": t[fresh], "s": s[fresh].astype(np.int32), "e": (s[last] + 1).astype(np.int32)}
+
+
 def searched(found: DataFrame, w: Windows, search: Search, parts: int) -> DataFrame:
     """Repeats inside shards of passages, by the operator's own method."""
 
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, code = [], []
-        for batch in batches:
-            held += unpacked(batch, ("doc", "t", "s", "e"), PASSAGES)
-            code += [np.frombuffer(x.as_py(), w.code_type) for x in batch.column(batch.schema.get_field_index("c"))]
-        if not held:
-            return
-        run = concatenated(held, ("doc", "t", "s", "e"))
-        code = np.concatenate(code)
-        n_starts = (run["e"] - run["s"]).astype(np.int64)
-        offsets = np.concatenate(([0], np.cumsum(n_starts + w.length - 1)))
-        which = search(code, offsets, n_starts, w.length)
-        passage = np.repeat(np.arange(len(n_starts)), n_starts)
-        start = run["s"][passage] + (np.arange(len(passage)) - np.repeat(np.cumsum(n_starts) - n_starts, n_starts))
-        tied = np.flatnonzero(which >= 0)
-        doc, t, s, which = run["doc"][passage[tied]], run["t"][passage[tied]], start[tied], which[tied]
-        order = np.lexsort((s, t, doc, which))
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = which[order][1:] != which[order][:-1]
-        later = order[~first]
-        # neighbouring starts of one document become one range
-        order = later[np.lexsort((s[later], t[later], doc[later]))]
-        doc, t, s = doc[order], t[order], s[order]
-        fresh = np.ones(len(order), dtype=bool)
-        fresh[1:] = (doc[1:] != doc[:-1]) | (t[1:] != t[:-1]) | (s[1:] > s[:-1] + 1)
-        last = np.append(np.flatnonzero(fresh)[1:] - 1, len(order) - 1) if len(order) else np.zeros(0, np.int64)
-        out = {"doc": doc[fresh], "t": t[fresh], "s": s[fresh].astype(np.int32), "e": (s[last] + 1).astype(np.int32)}
-        if len(out["s"]):
-            yield packed(REPEATS, by_document(out, parts), out)
+        for shard in shards(batches):
+            out = _later_windows(shard, w, search)
+            if len(out["s"]):
+                yield packed(REPEATS, by_document(out, parts), out)
 
-    return found.repartition(partitions(found), "k").mapInArrow(rows, SCHEMA)
+    return shard_by_shard(found).mapInArrow(rows, SCHEMA)
 
 
 def repeats(df: DataFrame, w: Windows, search: Search, name: str, id_col: str, text_col: str) -> tuple[DataFrame, int]:
