@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.dedup import cut_repeats
 from quadrille.llm.leaks import drop_leaks
+from quadrille.llm.pieces import encode_pieces
 from quadrille.llm.quality import keep_quality
 from quadrille.llm.simhash import keep_one_of_each
 from quadrille.llm.spark_io import table, written
@@ -27,11 +28,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return encode_pieces(docs, keep=("lang", "source"))
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("near duplicates", near_duplicates),
     ("repeated passages", repeated_passages),
     ("decontamination", decontamination),
+    ("encoding", encoding),
 ]
 
 #: The later stages can't be said in SQL; tests hold them against brute force.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.dedup import repeated_bytes, repeated_words
 from quadrille.llm.leaks import find_leaks
+from quadrille.llm.pieces import encode_pieces
 from quadrille.llm.quality import Limits, quality_measures
 from quadrille.llm.simhash import simhash_components
 from quadrille.llm.spark_io import table
@@ -42,6 +43,11 @@ def _covered(m: int) -> str:
       WHERE c > 1) GROUP BY doc_id"""
 
 
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 @query("op2_latent_decontamination")
 def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark"))
