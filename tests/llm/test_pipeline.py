@@ -1,7 +1,9 @@
+import re
+
 import corpus_pipeline
 from quadrille.llm.spark_io import table, written
 from tests.llm.conftest import SF
-from tests.llm.test_dedup import brute_words
+from tests.llm.test_dedup import WORD, brute_words
 from tests.llm.test_quality import brute as quality
 from tests.llm.test_simhash import brute_components, brute_fingerprint
 
@@ -24,6 +26,6 @@ def test_stages_in_order_with_their_decisions(spark):
         if name == "repeated passages":
             gone = {r[0]: r[1:3] for r in brute_words(list(seen.items()))}
             assert now.keys() == {i for i, (n, k) in gone.items() if k < n or not n}
-            assert all(len(now[i].split()) == gone[i][0] - gone[i][1] or "\x1c" in now[i] for i in now)
+            assert all(len(re.findall(WORD, now[i])) == gone[i][0] - gone[i][1] for i in now)
         seen = now
     assert len(seen) > 50
