@@ -10,8 +10,10 @@ from quadrille.llm.dedup import repeated_bytes, repeated_words
 from quadrille.llm.leaks import find_leaks
 from quadrille.llm.pieces import encode_pieces
 from quadrille.llm.quality import Limits, quality_measures
+from quadrille.llm.shards import kd_shards
 from quadrille.llm.simhash import simhash_components
 from quadrille.llm.spark_io import table
+from quadrille.llm.urls import RULES, judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +104,26 @@ def op6_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op7_fm_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
+_RULE_ROWS = ", ".join(f"('{v}', '{r[: r.find('/')]}', '{r[r.find('/') :]}')" for v, r in RULES)
+
+
+@query(
+    "op8_bloom_cascade",
+    f"""
+    WITH rules(verdict, h, p) AS (VALUES {_RULE_ROWS}),
+    u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+            substr(regexp_extract(rest, '^[^?#]*'), length(regexp_extract(rest, '^[^/?#]*')) + 1) AS path FROM u),
+    f AS (SELECT page_id, arg_max(rules.h || rules.p, length(rules.h || rules.p)) AS rule, arg_max(rules.verdict, length(rules.h || rules.p)) AS verdict
+          FROM s JOIN rules ON (host = rules.h OR ends_with(host, '.' || rules.h)) AND starts_with(path, rules.p) GROUP BY page_id)
+    SELECT s.page_id, host, path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM s LEFT JOIN f ON s.page_id = f.page_id""",
+)
+def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages", ["page_id", "url"]))
+
+
+@query("op9_kd_tree_shards")
+def op9_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
