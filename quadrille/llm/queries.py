@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quadrille.llm.dedup import repeated_bytes, repeated_words
 from quadrille.llm.leaks import find_leaks
+from quadrille.llm.ngrams import score_texts
 from quadrille.llm.pieces import encode_pieces
 from quadrille.llm.quality import Limits, quality_measures
 from quadrille.llm.shards import kd_shards
@@ -127,3 +128,8 @@ def op8_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_kd_tree_shards")
 def op9_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents", ["doc_id", "text", "lang"]))
+
+
+@query("op10_kneser_ney")
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents", ["doc_id", "text"]))
