@@ -11,6 +11,7 @@ from quadrille.llm.leaks import find_leaks
 from quadrille.llm.ngrams import score_texts
 from quadrille.llm.pieces import encode_pieces
 from quadrille.llm.quality import Limits, quality_measures
+from quadrille.llm.quotes import link_quotes
 from quadrille.llm.shards import kd_shards
 from quadrille.llm.simhash import simhash_components
 from quadrille.llm.spark_io import table
@@ -56,6 +57,11 @@ def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark"))
 
 
+@query("op3_quotation_linking")
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotes(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+
+
 @query(
     "op4_suffix_repetition",
     f"""
