@@ -21,3 +21,11 @@ def query(name: str, oracle: str | None = None):
         return f
 
     return register
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from quadrille.plans import colour_queries, layout_queries, live_queries, round_trips, signal_queries  # noqa: F401
+
+
+load()
