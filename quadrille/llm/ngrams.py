@@ -1,6 +1,6 @@
 """Language-model scoring: an interpolated modified Kneser-Ney model of word pairs, counted in Spark.
 
-Texts are counted and scored in blocks (the partitions of the scan). A block sends its distinct word pairs
+Texts are counted and scored in blocks (cuts of the partitions of the scan, by hash). A block sends its distinct word pairs
 and words, as sorted hash arrays with its training counts, to shards by hash. A shard merges what it gets
 into its part of the model - sorted hash arrays in a file that the worker maps into memory - and answers
 each block from it, in the block's own order, so answers carry counts and no hashes. The texts
@@ -41,6 +41,8 @@ BLOBS = ("a", "b", "c", "d", "e")
 SUM_COLUMNS = tuple(f"x{i}" for i in range(8))
 SCHEMA = "k int, kind int, src int, " + ", ".join(f"{c} binary" for c in BLOBS) + ", " + ", ".join(f"{c} long" for c in SUM_COLUMNS)
 CHUNK = 1 << 20
+#: Bytes of a scan partition for each of the blocks that it is cut into, which bounds what a task holds.
+BLOCK_BYTES = 8 << 20
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,20 +73,23 @@ class Tables:
         counted = np.repeat(training, lengths)
         # pairs: by shard, then by first word, so that a first word stands once for its run
         keys = pair_hash(before, token)
-        order = np.argsort(keys)
-        ranked = keys[order]
-        fresh = np.append(True, ranked[1:] != ranked[:-1]) if len(ranked) else np.zeros(0, bool)
+        order = np.argsort(keys).astype(np.int32)
+        keys = keys[order]
+        fresh = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+        del keys
         one = order[fresh]
-        group = np.empty(len(keys), dtype=np.int64)
-        group[order] = np.cumsum(fresh) - 1
+        group = np.empty(len(order), dtype=np.int32)
+        group[order] = np.cumsum(fresh, dtype=np.int32) - 1
         v, w = before[one], token[one]
+        del order, fresh, before
         shard = (v % np.uint64(parts)).astype(np.int64)
         often = frequent[(v % np.uint64(BUCKETS)).astype(np.int64)] | (v <= BEGIN)
         shard = np.where(often, (shard + (mix(w) % np.uint64(SPREAD)).astype(np.int64)) % parts, shard)
         sort = np.argsort((shard.astype(np.uint64) << np.uint64(44)) | (v >> np.uint64(20)), kind="stable")
-        place = np.empty(len(sort), dtype=np.int64)
+        place = np.empty(len(sort), dtype=np.int32)
         place[sort] = np.arange(len(sort))
         self.pair_of = place[group]
+        del group
         self.v, self.w, self.pair_shard = v[sort], w[sort], shard[sort]
         self.pair_count = np.bincount(self.pair_of[counted], minlength=len(sort)).astype(np.uint32)
         # words: those that come, and the mark before a text, whose count is that of texts
@@ -125,20 +130,20 @@ def counted(docs: DataFrame, frequent: np.ndarray, parts: int) -> DataFrame:
 
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, first, training, block, total = [], [np.zeros(1, np.int64)], [], None, 0
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            block = batch.column(0)[0].as_py()
-            t, f = tokens(batch.column(2))
-            token.append(t)
-            first.append(f[1:] + total)
-            total += len(t)
-            training.append(~batch.column(1).to_numpy(zero_copy_only=False))
-        if block is None:
-            return
-        tables = Tables(np.concatenate(token), np.concatenate(first), np.concatenate(training), frequent, parts)
-        del token
+            blocks = batch.column(0).to_numpy(zero_copy_only=False)
+            for block in np.unique(blocks).tolist():
+                own = batch.filter(pa.array(blocks == block))
+                held.setdefault(block, []).append((*tokens(own.column(2)), ~own.column(1).to_numpy(zero_copy_only=False)))
+        for block in sorted(held):
+            yield from _told(block, held.pop(block))
+
+    def _told(block: int, parts_of: list) -> Iterator[pa.RecordBatch]:
+        token = np.concatenate([t for t, _, _ in parts_of])
+        first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for _, f, _ in parts_of]))))
+        tables = Tables(token, first, np.concatenate([x for _, _, x in parts_of]), frequent, parts)
+        del token, parts_of
         out = []
         for k, at in _cuts(tables.pair_shard):
             v = tables.v[at]
@@ -321,6 +326,13 @@ def scored(batches: Iterator[pa.RecordBatch], model: Model, frequent: np.ndarray
         )
 
 
+def _split_bytes(df: DataFrame) -> int:
+    """The most that a scan partition holds."""
+    size = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").strip().lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    return int(size[:-1]) * units[size[-1]] if size[-1] in units else int(size)
+
+
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of df.
 
@@ -328,7 +340,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     differs is an error, not a wrong score."""
     parts = 4 * partitions(df)
     crc = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
-    docs = df.select(F.spark_partition_id().alias("block"), (crc % 7 == 2).alias("held"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    cuts = max(1, -(-_split_bytes(df) // BLOCK_BYTES))
+    block = F.spark_partition_id() * F.lit(cuts) + F.pmod(F.xxhash64(id_col, text_col), F.lit(cuts)).cast("int")
+    docs = df.select(block.alias("block"), (crc % 7 == 2).alias("held"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     frequencies, n_texts = document_frequencies(df, text_col)
     frequent = frequencies > max(64, n_texts * FREQUENT)
     pairs = written(pair_shards(counted(docs.select("block", "held", "text"), frequent, parts), parts), "pairs")

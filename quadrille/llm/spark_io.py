@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
@@ -35,7 +36,18 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    schema = df.schema
+    del df, writer
+    release_shuffles(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Shuffle files whose readers are done go when the driver next collects its garbage: let it do so now."""
+    gc.collect()
+    jvm = getattr(spark.sparkContext, "_jvm", None)
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def partitions(df: DataFrame) -> int:
