@@ -11,7 +11,7 @@ how many pairs w comes second), above a uniform share for each known token and o
 estimated from counts of counts, for one, two, and three or more.
 
 Pairs whose first word is frequent are spread over shards by their second word as well; which words
-that are is decided by document frequencies of the whole corpus. Tokens are compared by 64-bit hashes.
+that are is decided by document frequencies of the whole corpus. Tokens are compared by 56-bit hashes.
 
 Defined cases: a null or empty text has one token, its end; a null id is in training; equal rows are counted each and
 scored alike; an empty table gives an empty one; without training texts every token has the uniform share;
@@ -30,19 +30,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.arrays import Words, mix, text_chunks
 from quadrille.llm.leaks import BUCKETS, document_frequencies
-from quadrille.llm.spark_io import frugal, partitions, written
-from quadrille.llm.windows import from_planes, planes, shard_by_shard, shards
+from quadrille.llm.spark_io import frugal, partitions, release_shuffles, split_bytes, written
+from quadrille.llm.windows import SHARDS_OF_A_TASK, from_planes, planes, shard_by_shard, shards
 
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: A word in more than this share of the texts has its pairs spread over so many shards.
 FREQUENT, SPREAD = 1 / 64, 64
-TEXT, PAIRS, WORDS, WORD_SUMS, PAIR_ANSWERS, WORD_ANSWERS, SUMS = range(7)
+TEXT, PAIRS, WORDS, FOLLOWED, FOLLOWING, PAIR_ANSWERS, WORD_ANSWERS, SUMS = range(8)
 BLOBS = ("a", "b", "c", "d", "e")
 SUM_COLUMNS = tuple(f"x{i}" for i in range(8))
 SCHEMA = "k int, kind int, src int, " + ", ".join(f"{c} binary" for c in BLOBS) + ", " + ", ".join(f"{c} long" for c in SUM_COLUMNS)
 CHUNK = 1 << 20
 #: Bytes of a scan partition for each of the blocks that it is cut into, which bounds what a task holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +51,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for _, data, offsets in text_chunks(texts, CHUNK):
         words = Words(data, offsets)
         hashes = words.hashes(lower=True)
+        hashes >>= np.uint64(8)  # the byte left out is a plane of zeros in every shuffle file
         hashes[hashes <= BEGIN] += np.uint64(2)
         parts.append(np.insert(hashes, words.first[1:], END))
         first.append(words.first[1:] + np.arange(1, len(words.first)) + total)
@@ -210,38 +211,39 @@ def pair_shards(told: DataFrame, parts: int) -> DataFrame:
                 out.append(_row(src, PAIR_ANSWERS, shard[0].column(0)[0].as_py(), (np.asarray(model_counts[at]),)))
             seen = np.asarray(model_counts)
             trained = seen > 0
-            words, which = np.unique(np.concatenate((v[trained], w[trained])), return_inverse=True)
-            own, seen = which[: int(trained.sum())], seen[trained]
-            second = which[int(trained.sum()) :]
+            v, w, seen = v[trained], w[trained], seen[trained]
+            first, which = np.unique(v, return_inverse=True)
             level = np.minimum(seen, 3)
-            n = [np.bincount(own[level == i], minlength=len(words)).astype(np.uint64) for i in (1, 2, 3)]
-            after = np.bincount(second, minlength=len(words)).astype(np.uint64)
-            target = (words % np.uint64(parts)).astype(np.int64)
-            sort = np.argsort(target, kind="stable")
-            for k, at in _cuts(target[sort]):
-                at = sort[at]
-                out.append(_row(k, WORD_SUMS, 0, (words[at], after[at], *(x[at] for x in n))))
+            n = tuple(np.bincount(which[level == i], minlength=len(first)).astype(np.uint64) for i in (1, 2, 3))
+            second, after = np.unique(w, return_counts=True)
+            for kind, words, sums in ((FOLLOWED, first, n), (FOLLOWING, second, (after.astype(np.uint64),))):
+                target = (words % np.uint64(parts)).astype(np.int64)
+                sort = np.argsort(target, kind="stable")
+                for k, at in _cuts(target[sort]):
+                    out.append(_row(k, kind, 0, (words[sort[at]], *(x[sort[at]] for x in sums))))
             out.append(_row(-1, SUMS, 0, (), tuple(int((seen == i).sum()) for i in (1, 2, 3, 4))))
             for lo in range(0, len(out), 64):
                 yield _batch(out[lo : lo + 64])
 
-    return shard_by_shard(told).mapInArrow(rows, SCHEMA)
+    return shard_by_shard(told, parts // SHARDS_OF_A_TASK).mapInArrow(rows, SCHEMA)
 
 
-def word_shards(told: DataFrame) -> DataFrame:
+def word_shards(told: DataFrame, parts: int) -> DataFrame:
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             asked = _blobs(shard, WORDS, (np.uint64, np.uint32))
-            sums = _blobs(shard, WORD_SUMS, (np.uint64,) * 5)
+            following, followed = _blobs(shard, FOLLOWING, (np.uint64,) * 2), _blobs(shard, FOLLOWED, (np.uint64,) * 4)
             if not asked:
                 continue
             words, which = np.unique(np.concatenate([x[0] for _, x in asked]), return_inverse=True)
             count = np.bincount(which, np.concatenate([x[1] for _, x in asked]), len(words)).astype(np.uint64)
             after_n = [np.zeros(len(words), np.uint64) for _ in range(4)]
-            if sums:
-                at = np.searchsorted(words, np.concatenate([x[0] for _, x in sums]))
-                after_n = [np.bincount(at, np.concatenate([x[1 + i] for _, x in sums]), len(words)).astype(np.uint64) for i in range(4)]
+            for told_of, first_column in ((following, 0), (followed, 1)):
+                if told_of:
+                    at = np.searchsorted(words, np.concatenate([x[0] for _, x in told_of]))
+                    for i in range(len(told_of[0][1]) - 1):
+                        after_n[first_column + i] = np.bincount(at, np.concatenate([x[1 + i] for _, x in told_of]), len(words)).astype(np.uint64)
             model = mapped(words, count, *after_n)
             out = []
             for src, (own, _) in asked:
@@ -252,7 +254,7 @@ def word_shards(told: DataFrame) -> DataFrame:
             for lo in range(0, len(out), 64):
                 yield _batch(out[lo : lo + 64])
 
-    return shard_by_shard(told).mapInArrow(rows, SCHEMA)
+    return shard_by_shard(told, parts // SHARDS_OF_A_TASK).mapInArrow(rows, SCHEMA)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -326,27 +328,22 @@ def scored(batches: Iterator[pa.RecordBatch], model: Model, frequent: np.ndarray
         )
 
 
-def _split_bytes(df: DataFrame) -> int:
-    """The most that a scan partition holds."""
-    size = df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes").strip().lower().rstrip("b")
-    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
-    return int(size[:-1]) * units[size[-1]] if size[-1] in units else int(size)
-
-
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of df.
 
     df must give the same rows in the same partitions when read twice, as scans and written tables do; a block that
     differs is an error, not a wrong score."""
-    parts = 4 * partitions(df)
+    parts = SHARDS_OF_A_TASK * partitions(df)
     crc = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
-    cuts = max(1, -(-_split_bytes(df) // BLOCK_BYTES))
+    cuts = max(1, -(-split_bytes(df.sparkSession) // BLOCK_BYTES))
     block = F.spark_partition_id() * F.lit(cuts) + F.pmod(F.xxhash64(id_col, text_col), F.lit(cuts)).cast("int")
     docs = df.select(block.alias("block"), (crc % 7 == 2).alias("held"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     frequencies, n_texts = document_frequencies(df, text_col)
     frequent = frequencies > max(64, n_texts * FREQUENT)
     pairs = written(pair_shards(counted(docs.select("block", "held", "text"), frequent, parts), parts), "pairs")
-    words = written(word_shards(pairs.where(f"kind in ({WORDS}, {WORD_SUMS})")), "words")
+    release_shuffles(df.sparkSession)
+    words = written(word_shards(pairs.where(f"kind in ({WORDS}, {FOLLOWED}, {FOLLOWING})"), parts), "words")
+    release_shuffles(df.sparkSession)
     total = {r.k: [x or 0 for x in r[1:]] for said in (pairs, words) for r in said.where(f"kind = {SUMS}").groupBy("k").agg(*(F.sum(c).alias(c) for c in SUM_COLUMNS)).collect()}
     p, w = total.get(-1, [0] * 8), total.get(-2, [0] * 8)
     model = Model(discounts(*p[:4]), discounts(*w[:4]), w[4], (w[0], w[1], w[7]), w[5], w[6])
@@ -361,5 +358,5 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         yield from scored(batches, model, frequent, parts, names)
 
     kind = df.schema[id_col].dataType.simpleString()
-    dealt = both.repartition(partitions(df), "k").sortWithinPartitions("k", "kind")
+    dealt = both.repartition(parts // SHARDS_OF_A_TASK, "k").sortWithinPartitions("k", "kind")
     return dealt.mapInArrow(rows, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
