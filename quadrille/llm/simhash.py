@@ -109,7 +109,7 @@ def _bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.
     return fps[tied], fps[labels[tied]]
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, tasks: int | None = None) -> DataFrame:
     """Links (u, v) that connect exactly the distinct fingerprints within reach of each other."""
     if distance > 3:
         raise ValueError("five blocks, taken two at a time, find up to three differing bits")
@@ -133,14 +133,14 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFram
             yield emit(held_k, held_f)
 
     dealt = distinct.select("fp", F.explode(F.array(*_block_keys())).alias("key")).select("key", "fp")
-    return dealt.repartition(partitions(distinct), "key").sortWithinPartitions("key").mapInArrow(rows, "u long, v long")
+    return dealt.repartition(tasks or partitions(distinct), "key").sortWithinPartitions("key").mapInArrow(rows, "u long, v long")
 
 
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """(id, fingerprint, component_id) for each row of df."""
     docs = written(with_fingerprints(df, id_col, text_col, shingle), "fingerprints")
     distinct = docs.groupBy("fp").agg(F.min(id_col).alias("least"))
-    star = stars(fingerprint_links(distinct, distance))
+    star = stars(fingerprint_links(distinct, distance, partitions(df)))
     ends = star.select(F.col("u").alias("fp"), F.col("v").alias("root")).union(star.select("v", "v").distinct())
     groups = distinct.join(ends, "fp")
     named = groups.join(groups.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")

@@ -36,14 +36,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    schema = df.schema
-    del df, writer
-    release_shuffles(spark)
-    return spark.read.schema(schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def release_shuffles(spark: SparkSession) -> None:
-    """Shuffle files whose readers are done go when the driver next collects its garbage: let it do so now."""
+    """Shuffle files whose readers are done go when the driver next collects its garbage: let it do so now.
+    To be called where nothing refers to what was written any more."""
     gc.collect()
     jvm = getattr(spark.sparkContext, "_jvm", None)
     if jvm is not None:
@@ -51,8 +49,27 @@ def release_shuffles(spark: SparkSession) -> None:
 
 
 def partitions(df: DataFrame) -> int:
-    """Partitions for what is as large as the input: as many as it is read in, and no fewer than for any shuffle."""
-    return max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    """Partitions for what is as large as the input: one for each scan split of the tables below df, and no fewer than
+    for any shuffle. Nothing runs for it."""
+    conf = df.sparkSession.conf
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # what is more is unknown
+    return max(int(conf.get("spark.sql.shuffle.partitions")), min(-(-size // split_bytes(df.sparkSession)), 1 << 20))
+
+
+def split_bytes(spark: SparkSession) -> int:
+    """The most that a scan partition holds."""
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower().rstrip("b")
+    units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    return int(size[:-1]) * units[size[-1]] if size[-1] in units else int(size)
+
+
+def _c_library(name: str, *args: int) -> None:
+    try:
+        getattr(ctypes.CDLL(None), name)(*args)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
 
 
 def frugal(rows):
@@ -60,14 +77,12 @@ def frugal(rows):
 
     @functools.wraps(rows)
     def run(batches):
+        _c_library("mallopt", -3, 1 << 20)  # arrays over 1 MB are mapped and go back when freed
         try:
             yield from rows(batches)
         finally:
             pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # not the GNU C library
-                pass
+            _c_library("malloc_trim", 0)
 
     return run
 

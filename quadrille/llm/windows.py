@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.arrays import Rolling, Words, byte_symbols, mix, ranges, text_chunks
-from quadrille.llm.spark_io import frugal, partitions, written
+from quadrille.llm.spark_io import frugal, partitions, release_shuffles, written
 
 NULL_ID = (1 << 63) - 1
 CLASSES, REPEATS, ASKED, PASSAGES, TEXT = 0, 1, 2, 3, 9
@@ -41,6 +41,8 @@ HELD_RUNS = 300_000
 #: Bytes of passages that a task holds before it hands them on.
 HELD_PASSAGES = 8 << 20
 CHUNK = 1 << 19
+#: Shards are this many times the tasks, so that one is a part of what a task reads.
+SHARDS_OF_A_TASK = 4
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -223,9 +225,9 @@ def scanned(docs: DataFrame, w: Windows, parts: int) -> DataFrame:
     return docs.mapInArrow(rows, SCHEMA)
 
 
-def shard_by_shard(df: DataFrame) -> DataFrame:
+def shard_by_shard(df: DataFrame, tasks: int) -> DataFrame:
     """Shards dealt to tasks, in which each stands together: a task holds one at a time."""
-    return df.repartition(partitions(df), "k").sortWithinPartitions("k")
+    return df.repartition(tasks, "k").sortWithinPartitions("k")
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
@@ -268,7 +270,7 @@ def met(runs_of_all: DataFrame, parts: int) -> DataFrame:
                     asked = {c: firsts[c][shared] for c in ("doc", "t", "s", "e", "h")}
                     yield packed(ASKED, by_document(asked, parts), asked)
 
-    return shard_by_shard(runs_of_all).mapInArrow(rows, SCHEMA)
+    return shard_by_shard(runs_of_all, parts // SHARDS_OF_A_TASK).mapInArrow(rows, SCHEMA)
 
 
 class Held:
@@ -289,12 +291,12 @@ class Held:
         return (0, 0) if i is None else (int(self.at[i]), int(self.at[i + 1]))
 
 
-def beside(texts: DataFrame, said: DataFrame, payload: str) -> DataFrame:
+def beside(texts: DataFrame, said: DataFrame, payload: str, parts: int) -> DataFrame:
     """Texts and what was said about them, dealt by document; in each task what was said stands first."""
     named = said.select("k", "kind", "doc", "t", "s", "e", "h").withColumn(payload, F.lit(None).cast(texts.schema[payload].dataType))
     as_blob = lambda c: F.lit(None).cast("binary").alias(c)
     rows = texts.select("k", F.lit(TEXT).alias("kind"), *map(as_blob, ("doc", "t", "s", "e", "h")), payload)
-    return named.unionByName(rows).repartition(partitions(texts), "k").sortWithinPartitions("kind")
+    return named.unionByName(rows).repartition(parts // SHARDS_OF_A_TASK, "k").sortWithinPartitions("kind")
 
 
 def told(batches: Iterator[pa.RecordBatch], kind: int, names: tuple[str, ...]) -> Iterator[tuple[Held, pa.RecordBatch]]:
@@ -346,7 +348,7 @@ def passages(docs: DataFrame, asked: DataFrame, w: Windows, parts: int) -> DataF
             yield hand_on()
 
     bodies = docs.select("k", F.struct("doc", "t", "text").alias("body"))
-    return beside(bodies, asked.where(f"kind = {ASKED}"), "body").mapInArrow(rows, SCHEMA)
+    return beside(bodies, asked.where(f"kind = {ASKED}"), "body", parts).mapInArrow(rows, SCHEMA)
 
 
 #: Which starts of a passage's windows agree with an earlier one: (codes, offsets, n_starts) -> a class for each start, -1 for one that stands alone.
@@ -391,15 +393,17 @@ def searched(found: DataFrame, w: Windows, search: Search, parts: int) -> DataFr
             if len(out["s"]):
                 yield packed(REPEATS, by_document(out, parts), out)
 
-    return shard_by_shard(found).mapInArrow(rows, SCHEMA)
+    return shard_by_shard(found, parts // SHARDS_OF_A_TASK).mapInArrow(rows, SCHEMA)
 
 
 def repeats(df: DataFrame, w: Windows, search: Search, name: str, id_col: str, text_col: str) -> tuple[DataFrame, int]:
     """Ranges of window starts that start earlier elsewhere, by document; and the number of shards."""
-    parts = 4 * partitions(df)
+    parts = SHARDS_OF_A_TASK * partitions(df)
     docs = keyed(df, id_col, text_col, parts)
     said = written(met(scanned(docs, w, parts), parts), name)
-    again = searched(passages(docs, said, w, parts), w, search, parts)
+    release_shuffles(df.sparkSession)
+    again = written(searched(passages(docs, said, w, parts), w, search, parts), name)
+    release_shuffles(df.sparkSession)
     return said.where(f"kind = {REPEATS}").union(again), parts
 
 
@@ -418,4 +422,4 @@ def with_repeats(df: DataFrame, found: DataFrame, parts: int, id_col: str, text_
     t = text_order(text_col)
     body = F.struct(doc.alias("doc"), t.alias("t"), F.struct(*columns).alias("row"))
     texts = df.select(F.pmod(doc.bitwiseXOR(t.cast("long")), F.lit(parts)).cast("int").alias("k"), body.alias("body"))
-    return beside(texts, found, "body")
+    return beside(texts, found, "body", parts)
