@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.arrays import Words, mix, text_chunks
@@ -293,16 +294,42 @@ class Model:
         return np.where(context > 0, seen + left * share, share)
 
 
+def packed_texts(docs: DataFrame, id_kind: str) -> DataFrame:
+    """docs (block, held, text, id) as few rows: the texts of a block in a batch, compressed, and their ids."""
+    @frugal
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            blocks = batch.column(0).to_numpy(zero_copy_only=False)
+            for block in np.unique(blocks).tolist():
+                own = batch.filter(pa.array(blocks == block))
+                raw = [(t or "").encode() for t in own.column(2).to_pylist()]
+                lengths = np.array([len(t) for t in raw], np.int64)
+                row = {"k": block, "kind": TEXT, "src": 0, "a": own.column(1).to_numpy(zero_copy_only=False).tobytes(), "b": lengths.tobytes(), "c": pack(b"".join(raw))}
+                ids = pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.column(3))
+                yield pa.RecordBatch.from_arrays([*_batch([row]).columns, ids], names=[*ARROW.names, "ids"])
+
+    return docs.mapInArrow(rows, f"{SCHEMA}, ids array<{id_kind}>")
+
+
+def unpacked_texts(batch: pa.RecordBatch, row: int) -> pa.Array:
+    lengths = np.frombuffer(batch.column(4)[row].as_py(), np.int64)
+    raw = zstandard.ZstdDecompressor().decompress(batch.column(5)[row].as_py(), max_output_size=int(lengths.sum()) or 1)
+    offsets = np.concatenate(([0], np.cumsum(lengths)))
+    return pa.Array.from_buffers(pa.large_string(), len(lengths), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw)])
+
+
 def scored(batches: Iterator[pa.RecordBatch], model: Model, frequent: np.ndarray, parts: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     for block in shards(batches):
         texts = [b for b in (b.filter(pa.array(b.column(1).to_numpy(zero_copy_only=False) == TEXT)) for b in block) if b.num_rows]
         if not texts:
             continue
         answers = {kind: dict(_blobs(block, kind, (np.uint64,) * n)) for kind, n in ((PAIR_ANSWERS, 1), (WORD_ANSWERS, 5))}
-        ids = pa.concat_arrays([b.column(b.num_columns - 1).field(0) for b in texts])
-        held = np.concatenate([b.column(b.num_columns - 1).field(1).to_numpy(zero_copy_only=False) for b in texts])
-        parts_of = [tokens(b.column(b.num_columns - 1).field(2)) for b in texts]
-        del block, texts
+        del block
+        ids = pa.concat_arrays([b.column(b.num_columns - 1).flatten() for b in texts])
+        held = np.concatenate([np.frombuffer(x.as_py(), bool) for b in texts for x in b.column(3)])
+        parts_of = [tokens(unpacked_texts(b, r)) for b in texts for r in range(b.num_rows)]
+        del texts
         token = np.concatenate([t for t, _ in parts_of])
         first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts_of]))))
         del parts_of
@@ -348,8 +375,9 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     p, w = total.get(-1, [0] * 8), total.get(-2, [0] * 8)
     model = Model(discounts(*p[:4]), discounts(*w[:4]), w[4], (w[0], w[1], w[7]), w[5], w[6])
 
-    body = docs.select(F.col("block").alias("k"), F.lit(TEXT).alias("kind"), F.struct("id", "held", "text").alias("body"))
-    answers = pairs.where(f"kind = {PAIR_ANSWERS}").union(words.where(f"kind = {WORD_ANSWERS}")).withColumn("body", F.lit(None).cast(body.schema["body"].dataType))
+    kind = df.schema[id_col].dataType.simpleString()
+    body = packed_texts(docs.select("block", "held", "text", "id"), kind)
+    answers = pairs.where(f"kind = {PAIR_ANSWERS}").union(words.where(f"kind = {WORD_ANSWERS}"))
     both = answers.unionByName(body, allowMissingColumns=True)
     names = [id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -357,6 +385,5 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from scored(batches, model, frequent, parts, names)
 
-    kind = df.schema[id_col].dataType.simpleString()
     dealt = both.repartition(parts // SHARDS_OF_A_TASK, "k").sortWithinPartitions("k", "kind")
     return dealt.mapInArrow(rows, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -6,6 +6,7 @@ import ctypes
 import functools
 import gc
 import tempfile
+import time
 import uuid
 
 import pyarrow as pa
@@ -32,7 +33,7 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     and a lost executor loses nothing of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/quadrille/{name}-{uuid.uuid4().hex}"
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -42,10 +43,12 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
 def release_shuffles(spark: SparkSession) -> None:
     """Shuffle files whose readers are done go when the driver next collects its garbage: let it do so now.
     To be called where nothing refers to what was written any more."""
-    gc.collect()
     jvm = getattr(spark.sparkContext, "_jvm", None)
-    if jvm is not None:
-        jvm.System.gc()
+    for _ in range(2):  # what Python lets go of first is let go of by the other side in the second round
+        gc.collect()
+        if jvm is not None:
+            jvm.System.gc()
+        time.sleep(0.3)
 
 
 def partitions(df: DataFrame) -> int:
@@ -87,8 +90,14 @@ def frugal(rows):
     return run
 
 
+BATCH_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Texts can be long: tasks get them a thousand at a time, unless the session already asks for fewer."""
+    """Texts and blobs can be long: tasks get them a thousand or BATCH_BYTES at a time, unless the session asks for fewer rows."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows:
         spark.conf.set(key, rows)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        spark.conf.set(key, BATCH_BYTES)
