@@ -192,7 +192,7 @@ class ContainerReader(DataSourceReader):
         from pathlib import Path
 
         at = Path(self.path)
-        return [InputPartition(str(p)) for p in (sorted(at.glob("*.dsa")) if at.is_dir() else [at])]
+        return [InputPartition(str(p)) for p in (sorted(p for p in at.iterdir() if p.is_file() and p.name[0] not in "._") if at.is_dir() else [at])]
 
     def read(self, partition: InputPartition):
         from pathlib import Path

@@ -104,7 +104,7 @@ def test_band_code():
 def test_containers(spark, coded, tmp_path):
     files = container.to_containers(coded).collect()
     data = bytes(files[0].payload)
-    (tmp_path / "tones.dsa").write_bytes(data)
+    (tmp_path / "tones.bin").write_bytes(data)
     head = container.header(data)
     assert head["n_frames"] == coded.count() and container.crc_ok(data)
     container.register(spark)
