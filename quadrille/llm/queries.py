@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quadrille.llm.dedup import repeated_bytes, repeated_words
 from quadrille.llm.leaks import find_leaks
@@ -57,9 +57,34 @@ def op2_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents", ["doc_id", "text"]), table(spark, sf_dir, "benchmark"))
 
 
-@query("op3_quotation_linking")
+_MARKS = r"^(\s*>)+ ?"
+_NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
+
+
+@query(
+    "op3_quotation_linking",
+    rf"""
+    WITH m AS (SELECT conv_id AS c, turn AS t, role, coalesce(text, '') AS text FROM conversations),
+    l AS (SELECT c, t, i, length(regexp_replace(regexp_extract(x, '{_MARKS}'), '[^>]', '', 'g')) AS level, regexp_replace(x, '{_MARKS}', '') AS said
+      FROM (SELECT c, t, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM m)),
+    b AS (SELECT c, t, trim(coalesce(string_agg(said, chr(10) ORDER BY i) FILTER (WHERE level = 0), '')) AS body FROM l GROUP BY c, t),
+    runs AS (SELECT c, t, level, {_NORM.format("string_agg(said, chr(10) ORDER BY i)")} AS q
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY c, t, level ORDER BY i) AS island FROM l) WHERE level > 0 GROUP BY c, t, level, island),
+    says AS (SELECT DISTINCT c, t, {_NORM.format("x")} AS q FROM (SELECT c, t, body AS x FROM b UNION ALL SELECT c, t, unnest(regexp_split_to_array(body, '\n\s*\n')) FROM b UNION ALL SELECT c, t, unnest(string_split(body, chr(10))) FROM b)),
+    found AS (SELECT r.c, r.t, r.level, (SELECT max(s.t) FROM says s WHERE s.c = r.c AND s.q = r.q AND s.t < r.t) AS original FROM runs r WHERE r.q <> ''),
+    links AS (SELECT c, t, count(*) AS n_quotes, count(original) AS n_linked, max(original) FILTER (WHERE level = low) AS replied
+      FROM (SELECT *, min(level) FILTER (WHERE original IS NOT NULL) OVER (PARTITION BY c, t) AS low FROM found) GROUP BY c, t),
+    p AS (SELECT b.c, b.t, body, replied, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, lag(b.t) OVER w AS prior, row_number() OVER w AS pos
+      FROM b LEFT JOIN links k ON b.c = k.c AND b.t = k.t WINDOW w AS (PARTITION BY b.c ORDER BY b.t)),
+    s AS (SELECT *, CASE WHEN prior IS NULL OR coalesce(replied, prior) <> prior THEN pos END AS head FROM p),
+    h AS (SELECT *, max(head) OVER (PARTITION BY c ORDER BY t) AS begun FROM s)
+    SELECT h.c AS conv_id, h.t AS turn, m.role, coalesce(replied, prior, -1) AS parent_turn, (SELECT x.t FROM h x WHERE x.c = h.c AND x.pos = h.begun) AS branch, h.pos - begun AS place,
+      CAST(n_quotes AS BIGINT) AS n_quotes, CAST(n_linked AS BIGINT) AS n_linked, body AS message, '<|' || m.role || '|>' || chr(10) || body || chr(10) AS chat
+    FROM h JOIN m ON m.c = h.c AND m.t = h.t""",
+)
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotes(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+    linked = link_quotes(table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+    return linked.withColumn("parent_turn", F.coalesce("parent_turn", F.lit(-1)))  # -1: it answers nobody
 
 
 @query(

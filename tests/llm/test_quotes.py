@@ -73,3 +73,26 @@ def test_one_long_conversation(spark):
     rows = [(1, t, "user", f"m{t}" if t % 100 else f"> m{t // 2 - 1}\nm{t}") for t in range(3000)]
     got = [tuple(r) for r in link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()]
     assert sorted(got) == sorted(brute(rows))
+
+
+def test_sql_says_the_same_of_quoted_conversations(spark, tmp_path):
+    import duckdb
+
+    from quadrille.llm.queries import ORACLES
+
+    rng = random.Random(11)
+    rows = []
+    for conv in range(8):
+        texts = []
+        for turn in range(9):
+            quote = "".join(f"{'>' * rng.randrange(1, 3)} {rng.choice(texts)}\n" for _ in range(rng.randrange(3))) if texts else ""
+            texts.append(" ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(rng.randrange(1, 4))))
+            rows.append((conv, turn, "user", quote + texts[-1]))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations"))
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations/*.parquet')")
+    want = duck.sql(ORACLES["op3_quotation_linking"]).df()
+    got = link_quotes(df).fillna(-1, ["parent_turn"]).toPandas()
+    both = [sorted(map(str, x[sorted(want.columns)].astype(object).where(x[sorted(want.columns)].notna(), None).astype(str).values.tolist())) for x in (got, want)]
+    assert [x.replace(".0'", "'") for x in both[0]] == [x.replace(".0'", "'") for x in both[1]]
