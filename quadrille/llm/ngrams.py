@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.arrays import Words, mix, text_chunks
 from quadrille.llm.leaks import BUCKETS, document_frequencies
-from quadrille.llm.spark_io import frugal, partitions, release_shuffles, split_bytes, written
-from quadrille.llm.windows import SHARDS_OF_A_TASK, from_planes, planes, shard_by_shard, shards
+from quadrille.llm.spark_io import frugal, input_bytes, partitions, release_shuffles, split_bytes, written
+from quadrille.llm.windows import from_planes, planes, shard_by_shard, shards
 
 END, BEGIN = np.uint64(1), np.uint64(2)
 #: A word in more than this share of the texts has its pairs spread over so many shards.
@@ -44,6 +44,8 @@ SCHEMA = "k int, kind int, src int, " + ", ".join(f"{c} binary" for c in BLOBS)
 CHUNK = 1 << 20
 #: Bytes of a scan partition for each of the blocks that it is cut into, which bounds what a task holds.
 BLOCK_BYTES = 4 << 20
+#: Shards follow the bytes of the input, not the number of tasks: a blob then never gets small because tasks are many.
+SHARD_BYTES, LEAST_SHARDS = 4 << 20, 16
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +187,7 @@ def mapped(*arrays: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def pair_shards(told: DataFrame, parts: int) -> DataFrame:
+def pair_shards(told: DataFrame, parts: int, tasks: int) -> DataFrame:
     """Merges pairs and answers; sums for words go on, and what words were told passes through."""
 
     @frugal
@@ -226,10 +228,10 @@ def pair_shards(told: DataFrame, parts: int) -> DataFrame:
             for lo in range(0, len(out), 64):
                 yield _batch(out[lo : lo + 64])
 
-    return shard_by_shard(told, parts // SHARDS_OF_A_TASK).mapInArrow(rows, SCHEMA)
+    return shard_by_shard(told, tasks).mapInArrow(rows, SCHEMA)
 
 
-def word_shards(told: DataFrame, parts: int) -> DataFrame:
+def word_shards(told: DataFrame, tasks: int) -> DataFrame:
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
@@ -255,7 +257,7 @@ def word_shards(told: DataFrame, parts: int) -> DataFrame:
             for lo in range(0, len(out), 64):
                 yield _batch(out[lo : lo + 64])
 
-    return shard_by_shard(told, parts // SHARDS_OF_A_TASK).mapInArrow(rows, SCHEMA)
+    return shard_by_shard(told, tasks).mapInArrow(rows, SCHEMA)
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> np.ndarray:
@@ -360,16 +362,16 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     df must give the same rows in the same partitions when read twice, as scans and written tables do; a block that
     differs is an error, not a wrong score."""
-    parts = SHARDS_OF_A_TASK * partitions(df)
+    tasks, parts = partitions(df), max(LEAST_SHARDS, -(-input_bytes(df) // SHARD_BYTES))
     crc = F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8"))
     cuts = max(1, -(-split_bytes(df.sparkSession) // BLOCK_BYTES))
     block = F.spark_partition_id() * F.lit(cuts) + F.pmod(F.xxhash64(id_col, text_col), F.lit(cuts)).cast("int")
     docs = df.select(block.alias("block"), (crc % 7 == 2).alias("held"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
     frequencies, n_texts = document_frequencies(df, text_col)
     frequent = frequencies > max(64, n_texts * FREQUENT)
-    pairs = written(pair_shards(counted(docs.select("block", "held", "text"), frequent, parts), parts), "pairs")
+    pairs = written(pair_shards(counted(docs.select("block", "held", "text"), frequent, parts), parts, tasks), "pairs")
     release_shuffles(df.sparkSession)
-    words = written(word_shards(pairs.where(f"kind in ({WORDS}, {FOLLOWED}, {FOLLOWING})"), parts), "words")
+    words = written(word_shards(pairs.where(f"kind in ({WORDS}, {FOLLOWED}, {FOLLOWING})"), tasks), "words")
     release_shuffles(df.sparkSession)
     total = {r.k: [x or 0 for x in r[1:]] for said in (pairs, words) for r in said.where(f"kind = {SUMS}").groupBy("k").agg(*(F.sum(c).alias(c) for c in SUM_COLUMNS)).collect()}
     p, w = total.get(-1, [0] * 8), total.get(-2, [0] * 8)
@@ -385,5 +387,5 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from scored(batches, model, frequent, parts, names)
 
-    dealt = both.repartition(parts // SHARDS_OF_A_TASK, "k").sortWithinPartitions("k", "kind")
+    dealt = both.repartition(tasks, "k").sortWithinPartitions("k", "kind")
     return dealt.mapInArrow(rows, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -51,14 +51,17 @@ def release_shuffles(spark: SparkSession) -> None:
         time.sleep(0.3)
 
 
-def partitions(df: DataFrame) -> int:
-    """Partitions for what is as large as the input: one for each scan split of the tables below df, and no fewer than
-    for any shuffle. Nothing runs for it."""
-    conf = df.sparkSession.conf
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables below df, as planned: nothing runs for it. What has no known size counts as none."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    size = sum(x for x in sizes if x < 1 << 60)  # what is more is unknown
-    return max(int(conf.get("spark.sql.shuffle.partitions")), min(-(-size // split_bytes(df.sparkSession)), 1 << 20))
+    return sum(x for x in sizes if x < 1 << 60)
+
+
+def partitions(df: DataFrame) -> int:
+    """Partitions for what is as large as the input: one for each scan split, and no fewer than for any shuffle."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-input_bytes(df) // split_bytes(spark)), 1 << 20))
 
 
 def split_bytes(spark: SparkSession) -> int:
