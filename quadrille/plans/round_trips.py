@@ -9,7 +9,8 @@ from quadrille.catalog import query
 from quadrille.functions.dims import band_table
 from quadrille.operators import codec
 from quadrille.operators.framing import analysed
-from quadrille.plans.base import oracle, run
+from quadrille.plans import dialect
+from quadrille.plans.base import RELATIONS, oracle, run
 from quadrille.sources import container, layout, signals, wav
 
 
@@ -94,6 +95,10 @@ def layout_json_roundtrip(spark, sf_dir):
     return layout.from_documents(layout.to_documents(run(spark, sf_dir, _CELLS), band_table(spark)))
 
 
-@query("analysis_rows")
+# the same relations over tracks by event type
+_BY_TYPE = oracle("SELECT track, frame, ftype, round(energy, 6) AS energy, CAST(1024 AS INT) AS n FROM frames").replace(dialect.duck(RELATIONS["signal"].sql), dialect.duck(RELATIONS["type_signal"].sql))
+
+
+@query("analysis_rows", _BY_TYPE)
 def analysis_rows(spark, sf_dir):
     return analysed(signals.event_type_signal(spark, sf_dir)).select("track", "frame", "ftype", F.round("energy", 6).alias("energy"), F.size("coeffs").alias("n"))
