@@ -4,7 +4,8 @@ Fingerprints that differ in at most ``distance`` bits agree in some ``distance``
 so each distinct fingerprint is dealt to one bucket per choice of two out of five blocks. Inside a bucket a
 table holds the Hamming distances to many reference fingerprints; by the triangle inequality a pair
 whose coordinates differ by more than ``distance`` anywhere is no link, and only the survivors are
-compared bit by bit. A bucket hands on the stars of its components, never its pairs.
+compared bit by bit. A bucket hands on the stars of its components, never its pairs. Buckets that hold very many
+fingerprints are first cut along pivot coordinates, so that none is one task's alone.
 
 Defined cases: a null or empty text has no words and fingerprint zero; equal texts share a
 fingerprint and are one node; a row with a null id takes part by its text but never names a group
@@ -29,6 +30,8 @@ SHINGLE, DISTANCE, SEED, PIVOTS = 3, 3, 42, 24
 #: Five blocks cover 64 bits; three differing bits leave at least two blocks alike.
 WIDTHS = (13, 13, 13, 13, 12)
 BATCH = 1 << 16
+#: Buckets of more fingerprints are dealt again by the cells of their first CELL_PIVOTS distances.
+LARGE_BUCKET, CELL_PIVOTS = 1 << 16, 3
 
 
 def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
@@ -109,7 +112,21 @@ def _bucket_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.
     return fps[tied], fps[labels[tied]]
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, tasks: int | None = None) -> DataFrame:
+def _recut(dealt: DataFrame, large: int) -> DataFrame:
+    """(key, fp) with large buckets cut along pivot coordinates. Linked fingerprints are at most three apart in each, so
+    their cells of width four are the same or neighbours: each goes to its own cell and the next one up, and every
+    linked pair still meets, in a bucket that each coordinate makes smaller."""
+    heavy = dealt.groupBy("key").count().where(F.col("count") > large).select("key", F.lit(True).alias("heavy"))
+    cells = F.array(F.lit(0).cast("long"))
+    for p in pivots(CELL_PIVOTS).view(np.int64).tolist():
+        cell = F.shiftright(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p))), 2).cast("long")
+        cells = F.flatten(F.transform(cells, lambda c, cell=cell: F.array(c * 32 + cell + 1, c * 32 + cell + 2)))
+    cells = F.when(F.col("heavy"), cells).otherwise(F.array(F.lit(0).cast("long")))
+    marked = dealt.join(heavy, "key", "left").select("key", "fp", F.explode(cells).alias("cell"))
+    return marked.select((F.col("key") * F.lit(1 << 18) + F.col("cell")).alias("key"), "fp")
+
+
+def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, tasks: int | None = None, large: int = LARGE_BUCKET) -> DataFrame:
     """Links (u, v) that connect exactly the distinct fingerprints within reach of each other."""
     if distance > 3:
         raise ValueError("five blocks, taken two at a time, find up to three differing bits")
@@ -133,6 +150,7 @@ def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE, tasks: int
             yield emit(held_k, held_f)
 
     dealt = distinct.select("fp", F.explode(F.array(*_block_keys())).alias("key")).select("key", "fp")
+    dealt = _recut(dealt, large)
     return dealt.repartition(tasks or partitions(distinct), "key").sortWithinPartitions("key").mapInArrow(rows, "u long, v long")
 
 
