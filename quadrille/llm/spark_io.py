@@ -83,7 +83,7 @@ def frugal(rows):
 
     @functools.wraps(rows)
     def run(batches):
-        _c_library("mallopt", -3, 1 << 24)  # arrays over 16 MB are mapped and go back when freed
+        _c_library("mallopt", -3, 1 << 22)  # arrays over 4 MB are mapped and go back when freed
         try:
             yield from rows(batches)
         finally:
