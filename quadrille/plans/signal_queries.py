@@ -104,3 +104,20 @@ shared("signal_snr", """SELECT s.track, count(*) AS n, round(20e0 * log10(sqrt(a
 shared("snr_matrix", """SELECT s.track, round(sum(CASE WHEN d.p = 1 THEN v.snr END), 6) AS p1, round(sum(CASE WHEN d.p = 2 THEN v.snr END), 6) AS p2, round(sum(CASE WHEN d.p = 3 THEN v.snr END), 6) AS p3
   FROM (SELECT DISTINCT track FROM type_signal) s JOIN (SELECT track, p, 20e0 * log10(sqrt(avg(x * x)) / (sqrt(avg(pow(x - RINT(x * pow(10e0, p)) / pow(10e0, p), 2e0))) + 1e-12)) AS snr
     FROM type_signal CROSS JOIN (SELECT i AS p FROM RANGE(1, 4) t) g GROUP BY track, p) v ON v.track = s.track JOIN (SELECT i AS p FROM RANGE(1, 4) t) d ON d.p = v.p GROUP BY s.track""")
+
+
+def _hops(spark, sf_dir):
+    """Each hop resampled on its own, as live playback does."""
+    hops = signals.event_type_signal(spark, sf_dir).select(F.concat_ws("#", "track", F.floor(F.col("n") / 1024).cast("string")).alias("track"), F.pmod("n", F.lit(1024)).alias("n"), "x")
+    return resample.at_speed(hops, 1.6).select("track", "n", F.round("x", 6).alias("x"))
+
+
+_HOP = "(SELECT track || '#' || CAST(n // 1024 AS VARCHAR) AS track, n % 1024 AS n, x FROM type_signal)"
+shared(
+    "hop_resample",
+    f"""SELECT g.track, CAST(g.j AS BIGINT) AS n, round(a.x * (1e0 - (g.p - floor(g.p))) + coalesce(b.x, 0e0) * (g.p - floor(g.p)), 6) AS x FROM
+      (SELECT track, j, CASE WHEN n_out > 1 THEN j * (n_in - 1e0) / (n_out - 1e0) ELSE 0e0 END AS p FROM (SELECT track, n_in, n_out, UNNEST_RANGE(0, n_out) AS j FROM
+        (SELECT track, CAST(count(*) AS BIGINT) AS n_in, CAST(greatest(1e0, RINT(count(*) / 1.6e0)) AS BIGINT) AS n_out FROM {_HOP} h GROUP BY track) c) u) g
+      JOIN {_HOP} a ON a.track = g.track AND a.n = CAST(floor(g.p) AS BIGINT) LEFT JOIN {_HOP} b ON b.track = g.track AND b.n = CAST(floor(g.p) AS BIGINT) + 1""",
+    _hops,
+)

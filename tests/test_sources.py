@@ -117,3 +117,18 @@ def test_streamed_overlap_equals_batch(spark, tmp_path):
 def test_speed_estimates():
     assert live.speed_of([(0, 1.0)]) == 1.0 and live.speed_of([(0, 1.0), (50, 9.0)]) == 0.0
     assert abs(live.speed_of([(0, 0.0), (1_000_000, 43.06640625)]) - 1) < 1e-12
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from quadrille.__main__ import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.wav").write_bytes(wav.encoded(0.5 * np.sin(np.arange(9 * 1024) / 9)))
+    coded, out, doc = (str(tmp_path / x) for x in ("coded", "out", "doc"))
+    main(["encode", str(tmp_path / "in"), coded, "-b", "32"], spark)
+    main(["info", coded], spark)
+    assert "discrete" in capsys.readouterr().out
+    main(["decode", coded, out, "--layers", "0,1", "--speed", "2"], spark)
+    assert len(wav.samples(bytes(spark.read.parquet(out).first().payload))) == 5 * 1024
+    main(["layout", coded, doc, "--mode", "2"], spark)
+    assert json.loads(spark.read.text(doc).first().value)["n_bands"] == 48
