@@ -25,8 +25,20 @@ class Relation:
     make: Callable[[SparkSession, str], DataFrame] | None = None
 
 
+#: The analysis that relations of one query share: it is kept while they read it, and let go by the next query.
+_SHARED: dict[str, DataFrame] = {}
+
+
+def _let_go(spark: SparkSession) -> None:
+    old = _SHARED.pop("analysis", None)
+    if old is not None and old.sparkSession is spark:
+        old.unpersist()
+
+
 def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return framing.analysed(signals.event_signal(spark, sf_dir))
+    if "analysis" not in _SHARED:
+        _SHARED["analysis"] = framing.analysed(signals.event_signal(spark, sf_dir)).persist()
+    return _SHARED["analysis"]
 
 
 RELATIONS: dict[str, Relation] = {
@@ -112,6 +124,7 @@ def oracle(sql: str) -> str:
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The text over relations: those that an operator makes are views of its result, the rest are SQL."""
+    _let_go(spark)
     made: dict[str, DataFrame] = {}
     ctes: list[str] = []
     done: set[str] = set()
