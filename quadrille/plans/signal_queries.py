@@ -66,7 +66,7 @@ def _few(spark, sf_dir):
 shared("overlap_add", _SAMPLES.format(source=_FEW), lambda s, d: framing.overlap_add(_few(s, d)).select("track", "n", F.round("x", 6).alias("x")))
 shared(
     "reverse_frames",
-    _SAMPLES.format(source="(SELECT track, 3 - frame AS frame, m, c FROM coeffs WHERE frame < 4)"),
+    _SAMPLES.format(source="(SELECT track, (SELECT max(frame) FROM coeffs WHERE frame < 4) - frame AS frame, m, c FROM coeffs WHERE frame < 4)"),
     lambda s, d: framing.overlap_add(_few(s, d), reverse=True).select("track", "n", F.round("x", 6).alias("x")),
 )
 
