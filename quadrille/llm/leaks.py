@@ -7,8 +7,9 @@ folded in; its cosine with a benchmark passage can't exceed the share of its len
 keeps, so most are discarded by that bound, and the rest are compared with all passages. Candidates are
 decided by the longest common subsequence of words and a check of the passage's answer part.
 
-The benchmark is taken in blocks of a bounded number of items, so that what tasks receive is bounded;
-each block is held against all texts.
+The benchmark is taken in blocks of a bounded number of items and words, so that what tasks receive is bounded;
+the space of a block has as many dimensions as the block has items, so that it holds each of them whole, and
+all blocks are held against all texts.
 
 Defined cases: a null or empty text or item matches nothing; a null id is passed through; equal
 items are each reported; an empty benchmark or table gives an empty result; other columns are not read, and
@@ -32,8 +33,9 @@ BUCKETS = 1 << 17
 STRIDE = 8
 #: Lengths of the passages, in strides.
 SPANS = (2, 4, 8)
-BLOCK_ITEMS = 1000
-RANK, OVERSAMPLE, POWER_STEPS = 256, 16, 2
+#: A block is of at most so many items and words (but of one item at least); a pass over the texts takes the blocks of about GROUP_ITEMS items.
+BLOCK_ITEMS, BLOCK_WORDS, GROUP_ITEMS = 256, 1 << 14, 1024
+POWER_STEPS = 2
 CHUNK = 1 << 20
 
 
@@ -95,7 +97,7 @@ def randomised_svd(rows: DataFrame, n_columns: int, rank: int) -> np.ndarray:
 
 
 class Block:
-    """Some benchmark items, ready to be looked for: bounded by BLOCK_ITEMS."""
+    """Some benchmark items, ready to be looked for: bounded by BLOCK_ITEMS and BLOCK_WORDS."""
 
     def __init__(self, benchmark: DataFrame, items: list[tuple], counts: np.ndarray, n_texts: int, rules: Rules):
         self.rules = rules
@@ -122,8 +124,8 @@ class Block:
             x = tf * weights[at]
             rows.append((at.tolist(), (x / max(np.linalg.norm(x), 1e-12)).astype(float).tolist()))
         spark = benchmark.sparkSession
-        rank = min(RANK + OVERSAMPLE, len(rows), len(self.vocabulary))
-        basis = randomised_svd(spark.createDataFrame(rows, "at array<int>, x array<double>"), len(self.vocabulary), rank)[:, :RANK]
+        rank = min(len(rows), len(self.vocabulary))
+        basis = randomised_svd(spark.createDataFrame(rows, "at array<int>, x array<double>"), len(self.vocabulary), rank)
         self.fold = (basis * weights[:, None]).astype(np.float32)
         latent = np.array([np.array(x) @ basis[at] for at, x in rows])
         self.latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)).astype(np.float32)
@@ -155,22 +157,15 @@ class Block:
                 a = (a + u | a - u) & whole
         return n - v.bit_count(), n - at - a.bit_count()
 
-    def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, int, int]]:
-        """(row, item, common words, common answer words) of each text and item that match."""
-        if not len(self.vocabulary):
-            return
-        for row, data, offsets in text_chunks(texts, CHUNK):
-            words = Words(data, offsets)
-            if not len(words):
-                continue
-            hashes = words.hashes(lower=True)
-            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for doc, item, a, b in self._candidates(words, hashes):
-                found.setdefault((doc, item), []).append((a, b))
-            for (doc, item), spans in sorted(found.items()):
-                best = max((self._decide(words, hashes, doc, item, a, b) for a, b in self._merged(spans)), default=None)
-                if best and best[0]:
-                    yield row + doc, item, best[1], best[2]
+    def leaks(self, words: Words, hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, common words, common answer words) of each document of a chunk and item that match."""
+        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        for doc, item, a, b in self._candidates(words, hashes):
+            found.setdefault((doc, item), []).append((a, b))
+        for (doc, item), spans in sorted(found.items()):
+            best = max((self._decide(words, hashes, doc, item, a, b) for a, b in self._merged(spans)), default=None)
+            if best and best[0]:
+                yield doc, item, best[1], best[2]
 
     @staticmethod
     def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -248,19 +243,45 @@ def _slid(x: np.ndarray, span: int, last: np.ndarray) -> np.ndarray:
     return total[np.minimum(np.arange(len(x)) + span, last)] - total[:-1]
 
 
-def blocks(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, rules: Rules) -> Iterator[Block]:
-    n_blocks = math.ceil(benchmark.count() / BLOCK_ITEMS)
-    if not n_blocks:
+def cut(items: list[tuple]) -> Iterator[list[tuple]]:
+    """The items in runs of at most BLOCK_ITEMS items and, but for a single item, BLOCK_WORDS words."""
+    run, size = [], 0
+    for item in items:
+        n = len((item[1] or "").split())
+        if run and (len(run) == BLOCK_ITEMS or size + n > BLOCK_WORDS):
+            yield run
+            run, size = [], 0
+        run.append(item)
+        size += n
+    if run:
+        yield run
+
+
+def groups(df: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, rules: Rules) -> Iterator[list[Block]]:
+    """The blocks of the benchmark, those of one pass together."""
+    n_groups = math.ceil(benchmark.count() / GROUP_ITEMS)
+    if not n_groups:
         return
     counts, n_texts = document_frequencies(df, text_col)
-    # twice as many blocks as would do on average, so that none is likely to pass the bound
-    n_blocks = 1 if n_blocks == 1 else 2 * n_blocks
-    which = F.pmod(F.xxhash64(item_col, item_text), F.lit(n_blocks))
-    for k in range(n_blocks):
+    which = F.pmod(F.xxhash64(item_col, item_text), F.lit(n_groups))
+    for k in range(n_groups):
         items = [tuple(r) for r in benchmark.where(which == k).select(item_col, item_text).collect()]
-        block = Block(benchmark, items, counts, n_texts, rules)
-        if block.ids:
-            yield block
+        made = [Block(benchmark, run, counts, n_texts, rules) for run in cut(items)]
+        made = [block for block in made if block.ids]
+        if made:
+            yield made
+
+
+def leaks(blocks: list[Block], texts: pa.Array) -> Iterator[tuple[Block, int, int, int, int]]:
+    """(block, row, item, common words, common answer words) of each text and item that match."""
+    for row, data, offsets in text_chunks(texts, CHUNK):
+        words = Words(data, offsets)
+        if not len(words):
+            continue
+        hashes = words.hashes(lower=True)
+        for block in blocks:
+            for doc, item, common, answer in block.leaks(words, hashes):
+                yield block, row + doc, item, common, answer
 
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -269,18 +290,17 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     schema = f"`{id_col}` {kind}, item_id {item_kind}, item_words int, common_words int, answer_words int, overlap double"
     spark = df.sparkSession
     out = spark.createDataFrame([], schema)
-    for block in blocks(df, benchmark, text_col, item_col, item_text, rules):
-        shared = spark.sparkContext.broadcast(block)
+    for blocks in groups(df, benchmark, text_col, item_col, item_text, rules):
+        shared = spark.sparkContext.broadcast(blocks)
 
         @frugal
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = shared.value
             for batch in batches:
-                found = list(block.leaks(batch.column(1)))
-                at = [x[0] for x in found]
-                n = [len(block.words[x[1]]) for x in found]
+                found = list(leaks(shared.value, batch.column(1)))
+                at = [x[1] for x in found]
+                n = [len(x[0].words[x[2]]) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([block.ids[x[1]] for x in found], _arrow(item_kind)), pa.array(n, pa.int32()), pa.array([x[2] for x in found], pa.int32()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[2] / m for x, m in zip(found, n)], pa.float64())],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[0].ids[x[2]] for x in found], _arrow(item_kind)), pa.array(n, pa.int32()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[4] for x in found], pa.int32()), pa.array([x[3] / m for x, m in zip(found, n)], pa.float64())],
                     names=[id_col, "item_id", "item_words", "common_words", "answer_words", "overlap"],
                 )
 
@@ -295,14 +315,14 @@ def _arrow(kind: str) -> pa.DataType:
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of df that match no benchmark item, with all their columns."""
     at, source = df.columns.index(text_col), df
-    for block in blocks(source, benchmark, text_col, item_col, item_text, rules):
-        shared = df.sparkSession.sparkContext.broadcast(block)
+    for blocks in groups(source, benchmark, text_col, item_col, item_text, rules):
+        shared = df.sparkSession.sparkContext.broadcast(blocks)
 
         @frugal
         def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[x[0] for x in shared.value.leaks(batch.column(at))]] = False
+                keep[[x[1] for x in leaks(shared.value, batch.column(at))]] = False
                 yield batch.filter(pa.array(keep))
 
         df = df.mapInArrow(rows, source.schema)

@@ -67,3 +67,20 @@ def test_svd_spans_the_rows(spark):
     rows = spark.createDataFrame([(list(range(40)), x.tolist()) for x in dense], "at array<int>, x array<double>").repartition(3)
     basis = randomised_svd(rows, 40, 5)
     assert np.allclose(dense @ basis @ basis.T, dense, atol=1e-8)
+
+
+def test_a_thousand_items(spark):
+    """Brute force: verbatim containment; every block's space holds all its items."""
+    rng = random.Random(9)
+    items = [(i, [f"w{rng.randrange(6000)}" for _ in range(rng.randrange(15, 60))]) for i in range(1000)]
+    docs, want = [], set()
+    for d in range(120):
+        words = [f"w{rng.randrange(6000)}" for _ in range(rng.randrange(100, 600))]
+        i, item = items[rng.randrange(len(items))]
+        at = rng.randrange(len(words))
+        words[at:at] = item
+        docs.append((d, " ".join(words)))
+        want.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert want <= got
