@@ -4,7 +4,9 @@ Document frequencies are counted over the whole corpus (in a fixed number of has
 Benchmark passages become TF-IDF rows; a randomised SVD of them, whose products with the matrix are
 summed over Spark partitions, gives the latent space. Every run of 16, 32 and 64 words of every text, at each eighth word, is
 folded in; its cosine with a benchmark passage can't exceed the share of its length that the space
-keeps, so most are discarded by that bound, and the rest are compared with all passages. Candidates are
+keeps, so most are discarded by that bound, and the rest are compared with all passages. Beside these, every stretch
+of up to REACH times an item's words that the decision can accept is a candidate whatever the words weigh: it holds
+a least number of the item's rarest words, which are looked up word by word. Candidates are
 decided by the longest common subsequence of words and a check of the passage's answer part.
 
 The benchmark is taken in blocks of a bounded number of items and words, so that what tasks receive is bounded;
@@ -36,6 +38,8 @@ SPANS = (2, 4, 8)
 #: A block is of at most so many items and words (but of one item at least); a pass over the texts takes the blocks of about GROUP_ITEMS items.
 BLOCK_ITEMS, BLOCK_WORDS, GROUP_ITEMS = 256, 1 << 14, 1024
 POWER_STEPS = 2
+#: Accepted subsequences that spread over at most so many times the item's words are candidates without fail.
+REACH = 2
 CHUNK = 1 << 20
 
 
@@ -117,6 +121,7 @@ class Block:
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
         if not self.words:
             return
+        self._anchor(counts)
         weights = self.weights(self.vocabulary)
         rows = []
         for words in self.words:
@@ -134,6 +139,27 @@ class Block:
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         return self.idf[(hashes % np.uint64(BUCKETS)).astype(np.int64)]
 
+    def _anchor(self, counts: np.ndarray) -> None:
+        """Each item's rarest words, and how many places of them an accepted subsequence holds at least: it has ``need`` of the
+        item's words, and not more than ``need // 2`` of them can be other words."""
+        frequency = counts[(self.vocabulary % np.uint64(BUCKETS)).astype(np.int64)]
+        held, quota = [], []
+        for words in self.words:
+            n = len(words)
+            need = max(1, math.ceil(min(self.rules.overlap, self.rules.paraphrase) * n - 1e-9))
+            at, tf = np.unique(np.searchsorted(self.vocabulary, words), return_counts=True)
+            order = np.argsort(frequency[at], kind="stable")
+            places = np.cumsum(tf[order])
+            m = int(np.searchsorted(places, n - need // 2)) + 1
+            held.append(at[order[:m]])
+            quota.append(need - (n - int(places[m - 1])))
+        word = np.concatenate(held)
+        order = np.argsort(word, kind="stable")
+        self.anchor_items = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])[order]
+        self.anchor_first = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
+        self.quota = np.array(quota)
+        self.reach = np.array([REACH * len(w) for w in self.words])
+
     @staticmethod
     def _masks(words: np.ndarray) -> dict[int, int]:
         masks: dict[int, int] = {}
@@ -163,15 +189,15 @@ class Block:
         for doc, item, a, b in self._candidates(words, hashes):
             found.setdefault((doc, item), []).append((a, b))
         for (doc, item), spans in sorted(found.items()):
-            best = max((self._decide(words, hashes, doc, item, a, b) for a, b in self._merged(spans)), default=None)
+            best = max((self._decide(words, hashes, doc, item, a, b) for a, b in self._merged(spans, len(self.words[item]))), default=None)
             if best and best[0]:
                 yield doc, item, best[1], best[2]
 
     @staticmethod
-    def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    def _merged(spans: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
         out: list[tuple[int, int]] = []
         for a, b in sorted(spans):
-            if out and a <= out[-1][1] and b - out[-1][0] <= 4 * STRIDE * SPANS[-1]:
+            if out and a <= out[-1][1] and b - out[-1][0] <= max(4 * STRIDE * SPANS[-1], 2 * REACH * n):
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
             else:
                 out.append((a, b))
@@ -189,6 +215,7 @@ class Block:
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
         known = self.vocabulary[at] == hashes
+        yield from self._holding(words, at, known)
         weight = self.weights(hashes)
         strides = -(-words.counts // STRIDE)
         n = int(strides.sum())
@@ -226,6 +253,24 @@ class Block:
                     d = int(doc[s])
                     yield d, j, int(begin[s]), min(int(begin[s]) + STRIDE * span, int(words.first[d + 1]))
 
+    def _holding(self, words: Words, at: np.ndarray, known: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """The same of stretches that hold enough of an item's rarest words."""
+        p = np.flatnonzero(known)
+        first = self.anchor_first[at[p]]
+        n = self.anchor_first[at[p] + 1] - first
+        item = self.anchor_items[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order].astype(np.int64), np.repeat(p, n)[order]
+        i = np.arange(len(item))
+        j = i + self.quota[item] - 1
+        i, j = i[j < len(item)], j[j < len(item)]
+        held = (item[i] == item[j]) & (place[j] - place[i] < self.reach[item[i]]) & (words.doc[place[i]] == words.doc[place[j]])
+        for j, a, b in zip(item[i[held]].tolist(), place[i[held]].tolist(), place[j[held]].tolist()):
+            # with the item's length on both sides, as the decision takes it, all stretches that hold both places
+            d, n = int(words.doc[a]), len(self.words[j])
+            rest = (REACH - 1) * n
+            yield d, j, max(b + 1 - rest, int(words.first[d])), min(a + rest, int(words.first[d + 1]))
+
     def _folded(self, at: np.ndarray, known: np.ndarray, begin: np.ndarray, end: np.ndarray, strides: np.ndarray) -> np.ndarray:
         """The latent vectors of some strides."""
         out = np.zeros((len(strides), self.fold.shape[1]), dtype=np.float32)

@@ -84,3 +84,40 @@ def test_a_thousand_items(spark):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
     assert want <= got
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for k, y in enumerate(b):
+            last, row[k + 1] = row[k + 1], last + 1 if x == y else max(row[k], row[k + 1])
+    return row[-1]
+
+
+def test_what_the_decision_accepts_is_a_candidate(spark):
+    """An item in a third of the rows, paraphrases with up to 45 % of words replaced, items of several hundred words."""
+    rng = random.Random(17)
+    frequent = [f"f{k}" for k in range(30)]
+    some = lambda n: [rng.choice(frequent) if rng.random() < 0.5 else f"w{rng.randrange(4000)}" for _ in range(n)]
+    items = [(i, some(rng.randrange(15, 60))) for i in range(60)] + [(60, some(300)), (61, some(500)), (62, some(700))]
+    docs, want = [], set()
+    for d in range(300):
+        words = some(rng.randrange(60, 500))
+        i, item = items[0] if d % 3 == 0 else items[rng.randrange(1, len(items))]
+        n, answer = len(item), 3 * len(item) // 4
+        copy = list(item)
+        for k in rng.sample(range(n), int(n * rng.choice([0, 0, 0.3, 0.4, 0.45]))):
+            copy[k] = f"other{rng.randrange(10**6)}"
+        share, part = common(item, copy) / n, common(item[answer:], copy) / (n - answer)
+        if share >= 0.8 or share >= 0.55 and part >= 0.6:
+            want.add((d, i))
+        at = rng.randrange(len(words))
+        words[at:at] = copy
+        docs.append((d, " ".join(words)))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 200 and not want - got
+    # what the copy's surroundings add to it
+    assert all(common(items[i][1], docs[d][1].split()) >= 0.55 * len(items[i][1]) for d, i in got - want)
