@@ -1,15 +1,17 @@
 """SentencePiece encoding and decoding of whole texts by suffix-array matching.
 
-The distinct pre-tokens of a chunk (pieces never reach over their edges) are concatenated and
-indexed by a suffix array; every piece of the vocabulary is binary-searched in it for its range of
+Texts are cut between two bytes that stand side by side in no piece of the vocabulary, so that no
+piece reaches over a cut. The distinct pre-tokens of a chunk are concatenated and indexed by a suffix array; every piece of the vocabulary is binary-searched in it for its range of
 occurrences; the occurrences, sorted by position, are the edges over which adjacent symbols are
 joined, best score first and leftmost on ties, until no edge joins two neighbours.
 
-For models of kind BPE, with or without byte fallback; ids equal those of the public library.
+For models of kind BPE with byte fallback that leave texts as they are; ids equal those of the public library
+and do not depend on which texts share a chunk. Other models are refused.
 
 Defined cases: a null or empty text has no ids; U+2581 stands for a space, as in the library, so it
 decodes as one; a null id is passed through; repeated rows give repeated rows; an empty table gives
-an empty one; columns besides the id and the text are not read.
+an empty one; columns besides the id, the text and those kept are not read. ``encode_pieces`` refuses to keep a column
+that has the name of one it adds; ``decode_pieces`` puts its text in place of a column of that name.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.arrays import Rolling, byte_symbols, gather, ranges, text_chunks
 from quadrille.llm.spark_io import frugal
@@ -47,6 +49,8 @@ class PieceModel:
             raise ValueError("only models of kind BPE are supported")
         if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models that leave texts as they are (identity) are supported")
+        if not proto.trainer_spec.byte_fallback:
+            raise ValueError("only models with byte fallback are supported")
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
         self.bytes_of, self.byte_id = [], np.full(256, self.unknown, dtype=np.int32)
@@ -70,10 +74,20 @@ class PieceModel:
             self.bytes_of.append(out)
         self.ids, self.scores = np.array(ids, np.int32), np.array(scores, np.float64)
         self.lengths = np.array([len(t) for t in texts])
+        if not texts or min(self.lengths) < 1 or any(b"\0" in t for t in texts):
+            raise ValueError("a piece is empty or holds a zero byte")
         self.deepest = -(-int(self.lengths.max()) // 8)
+        #: an edge is position * stride + length
+        self.stride = max(64, 1 << int(self.lengths.max()).bit_length())
         padded = b"".join(t.ljust(8 * self.deepest, b"\0") for t in texts)
         #: the pieces' bytes, eight to a number, in order of significance
         self.words = np.frombuffer(padded, ">u8").reshape(len(texts), self.deepest).astype(np.uint64)
+        #: whether two bytes stand side by side in a piece, or the second continues a character
+        self.inside = np.zeros((256, 256), dtype=bool)
+        self.inside[:, 0x80:0xC0] = True
+        joined = np.frombuffer(b"\0".join(texts), np.uint8)
+        self.inside[joined[:-1], joined[1:]] = True
+        self.inside[0], self.inside[:, 0] = False, False
         self.byte_data = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.byte_offsets = np.concatenate(([0], np.cumsum([len(b) for b in self.bytes_of])))
         self.memory: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
@@ -101,10 +115,8 @@ class PieceModel:
         n_docs = len(offsets) - 1
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(n_docs, np.int64)
-        alone = data < SPACE  # no piece holds a control character
-        begin = np.zeros(len(data), dtype=bool)
-        begin[0] = True
-        begin[1:] = (data[1:] == SPACE) & (data[:-1] != SPACE) | alone[1:] | alone[:-1]
+        begin = np.ones(len(data), dtype=bool)
+        begin[1:] = ~self.inside[data[:-1], data[1:]]
         begin[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(data))
@@ -148,24 +160,14 @@ class PieceModel:
         return all_ids[ranges(lo, hi - lo)], np.concatenate(([0], np.cumsum(hi - lo)))
 
     def _edges(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of pieces: sorted keys position * 64 + length, and the piece of each."""
+        """Occurrences of pieces: sorted keys position * stride + length, and the piece of each."""
         n = len(text)
         ends = np.repeat(offsets[1:], np.diff(offsets))
         padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
         place, eight = np.arange(n), np.zeros(n, dtype=np.uint64)
         for i in range(8):
             eight = (eight << np.uint64(8)) | np.where(place + i < ends, padded[i : n + i], np.uint64(0))
-        rank = dense(eight)
-        depth = 8
-        while depth < 8 * self.deepest:
-            held = np.bincount(rank, minlength=n)
-            # a suffix that has ended differs from no other of its bucket
-            active = np.flatnonzero((held[rank] > 1) & (place + depth < ends))
-            if not len(active):
-                break
-            rank, _ = refine(rank, pointed(rank, ends, depth), active)
-            depth *= 2
-        suffixes = np.argsort(rank, kind="stable")
+        suffixes = np.argsort(self._ranked(eight, place, ends), kind="stable")
         low, high = np.zeros(len(self.ids), np.int64), np.full(len(self.ids), n, np.int64)
         for level in range(self.deepest):
             more = np.flatnonzero((self.lengths > 8 * level) & (low < high))
@@ -183,10 +185,24 @@ class PieceModel:
         found = high - low
         position = suffixes[ranges(low, found)]
         piece = np.repeat(np.arange(len(self.ids)), found)
-        keys = position * 64 + self.lengths[piece]
+        keys = position * self.stride + self.lengths[piece]
         order = np.argsort(keys)
         return keys[order], piece[order]
 
+    def _ranked(self, eight: np.ndarray, place: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Buckets of suffixes by as many bytes as the longest piece has, from their first eight."""
+        rank, depth = dense(eight), 8
+        while depth < 8 * self.deepest:
+            # a bucket is refined as a whole, with its suffixes that have ended, as long as one goes on
+            held, goes_on = np.bincount(rank, minlength=len(rank)), np.zeros(len(rank), dtype=bool)
+            goes_on[rank[place + depth < ends]] = True
+            active = np.flatnonzero((held[rank] > 1) & goes_on[rank])
+            if not len(active):
+                break
+            rank, _ = refine(rank, pointed(rank, ends, depth), active)
+            depth *= 2
+        return rank
+
     def _matched(self, text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each pre-token, concatenated, and their offsets."""
         n_tokens = len(offsets) - 1
@@ -196,10 +212,10 @@ class PieceModel:
 
         def piece_of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
             length = end - start
-            want = start * 64 + length
+            want = start * self.stride + length
             at = np.searchsorted(keys, want)
             at[at == len(keys)] = 0
-            return np.where((length < 64) & (keys[at] == want), pieces[at], -1) if len(keys) else np.full(len(start), -1)
+            return np.where((length < self.stride) & (keys[at] == want), pieces[at], -1) if len(keys) else np.full(len(start), -1)
 
         scores = np.append(self.scores, -np.inf)
         start = np.flatnonzero((text & 0xC0) != 0x80)
@@ -257,7 +273,7 @@ class PieceModel:
 
         def offer(i: int) -> None:
             j = after[i] if i >= 0 else n
-            if i >= 0 and j < n and end[j] - start[i] < 64 and (p := piece_of(start[i], end[j])) >= 0:
+            if i >= 0 and j < n and end[j] - start[i] < self.stride and (p := piece_of(start[i], end[j])) >= 0:
                 heapq.heappush(heap, (-self.scores[p], i, end[i], end[j]))
 
         for i in range(n - 1):
@@ -311,8 +327,10 @@ def _bisect(column: np.ndarray, low: np.ndarray, high: np.ndarray, want: np.ndar
 
 def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str = DEFAULT_MODEL, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, kept columns, n_tokens, token_ids, round_trip): round_trip tells that the ids decode to the text."""
-    shared = df.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
     carried = (id_col, *keep)
+    if {"n_tokens", "token_ids", "round_trip"} & set(carried):
+        raise ValueError("a kept column has the name of one that is added")
+    shared = df.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
 
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,15 +348,16 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def decode_pieces(df: DataFrame, ids_col: str = "token_ids", out_col: str = "text", model_path: str = DEFAULT_MODEL) -> DataFrame:
-    """df with the text of its ids in one more column; null ids give an empty text."""
+    """df with the text of its ids as last column; null ids give an empty text."""
     shared = df.sparkSession.sparkContext.broadcast(PieceModel.load(model_path))
-    at = df.columns.index(ids_col)
+    kept = [f.name for f in df.schema if f.name != out_col]
 
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = PieceModel(shared.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, model.decode(batch.column(at))], names=[*batch.schema.names, out_col])
+            texts = model.decode(batch.column(batch.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], texts], names=[*kept, out_col])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(rows, f"{fields}, `{out_col}` string")
+    fields = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{out_col}` string"])
+    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{ids_col}`").alias("the ids")).mapInArrow(rows, fields)
