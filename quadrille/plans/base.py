@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quadrille import catalog
 from quadrille.functions import dims
 from quadrille.functions.dims import BAND_SQL, LAYER_LIMITS, LAYER_PAIRS, PALETTE, code_table
-from quadrille.operators import framing
+from quadrille.operators import framing, levels
 from quadrille.plans import dialect
 from quadrille.sources import signals
 
@@ -25,20 +25,12 @@ class Relation:
     make: Callable[[SparkSession, str], DataFrame] | None = None
 
 
-#: The analysis that relations of one query share: it is kept while they read it, and let go by the next query.
-_SHARED: dict[str, DataFrame] = {}
+def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return framing.analysed(signals.event_signal(spark, sf_dir))
 
 
-def _let_go(spark: SparkSession) -> None:
-    old = _SHARED.pop("analysis", None)
-    if old is not None and old.sparkSession is spark:
-        old.unpersist()
-
-
-def _analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    if "analysis" not in _SHARED:
-        _SHARED["analysis"] = framing.analysed(signals.event_signal(spark, sf_dir)).persist()
-    return _SHARED["analysis"]
+def fixed_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return levels.fixed(analysis(spark, sf_dir))
 
 
 RELATIONS: dict[str, Relation] = {
@@ -52,7 +44,7 @@ RELATIONS: dict[str, Relation] = {
         """SELECT g.track, g.frame, m.i AS m, coalesce(v.c, 0e0) AS c FROM grid g CROSS JOIN RANGE(0, 1024) m
       LEFT JOIN (SELECT track, frame, m.i AS m, sum(x * sin(pi() / 2048e0 * (k + 0.5e0)) * cos(pi() / 1024e0 * (k + 512.5e0) * (m.i + 0.5e0))) * sqrt(2e0 / 1024e0) AS c
         FROM framed CROSS JOIN RANGE(0, 1024) m GROUP BY track, frame, m.i) v ON v.track = g.track AND v.frame = g.frame AND v.m = m.i""",
-        lambda s, d: framing.long_coeffs(_analysis(s, d)),
+        lambda s, d: framing.long_coeffs(analysis(s, d)),
     ),
     "band_edges": Relation(BAND_SQL),
     "pair_dim": Relation("SELECT * FROM (VALUES " + ", ".join(f"({layer}, {len(p)}, {i}, '{a}', '{b}')" for layer, p in enumerate(LAYER_PAIRS) for i, (a, b) in enumerate(p)) + ") AS v(layer, size, ord, color_a, color_b)"),
@@ -72,33 +64,42 @@ RELATIONS: dict[str, Relation] = {
     "bin_dim": Relation("SELECT m.i AS m, band, m.i - bin_lo AS coeff FROM band_dim JOIN RANGE(0, 1023) m ON m.i >= bin_lo AND m.i < bin_hi", lambda s, d: F.broadcast(dims.bin_table(s))),
     "bands": Relation(
         "SELECT track, frame, band, greatest(20e0 * log10(sqrt(avg(c * c)) + 1e-12), -80e0) AS db, sqrt(avg(c * c)) AS rms FROM coeffs JOIN bin_dim USING (m) GROUP BY track, frame, band",
-        lambda s, d: framing.long_bands(_analysis(s, d)),
+        lambda s, d: framing.long_bands(analysis(s, d)),
     ),
     "frames": Relation(
         """SELECT track, frame, frame % 8 AS gop_pos, CASE WHEN frame % 8 = 0 THEN 'K' WHEN max(db) < -55e0 THEN 'S' ELSE 'B' END AS ftype, max(db) < -55e0 AS is_silence,
       sum((greatest(db, -80e0) + 80e0) / 80e0 * weight) AS energy FROM bands JOIN band_dim USING (band) GROUP BY track, frame""",
-        lambda s, d: _analysis(s, d).select("track", "frame", "gop_pos", "ftype", "is_silence", "energy"),
+        lambda s, d: analysis(s, d).select("track", "frame", "gop_pos", "ftype", "is_silence", "energy"),
     ),
     "spread": Relation("SELECT x.band AS b, y.band AS m, CASE WHEN x.bark >= y.bark THEN -14e0 - 25e0 * (x.bark - y.bark) ELSE -14e0 + 40e0 * (x.bark - y.bark) END AS s FROM band_dim x CROSS JOIN band_dim y"),
-    "masks": Relation("SELECT e.track, e.frame, s.b AS band, greatest(min(d.ath_dbfs), max(greatest(e.db, -80e0) + s.s)) AS thr FROM bands e JOIN spread s ON s.m = e.band JOIN band_dim d ON d.band = s.b GROUP BY e.track, e.frame, s.b"),
-    "steps": Relation("SELECT track, frame, band, greatest(pow(10e0, (thr - 3e0) / 20e0), 1e-7) AS step FROM masks"),
-    "quant": Relation("SELECT c.track, c.frame, b.band, b.coeff, c.m, c.c, s.step, CAST(greatest(-2047e0, least(2047e0, RINT(c.c / s.step))) AS SMALLINT) AS q FROM coeffs c JOIN bin_dim b ON b.m = c.m JOIN steps s ON s.track = c.track AND s.frame = c.frame AND s.band = b.band"),
-    "costs": Relation("SELECT track, frame, band, 2e0 + sum(CASE WHEN RINT(abs(c) / step) > 0e0 THEN log2(RINT(abs(c) / step) + 1e0) + 1e0 ELSE 0e0 END) AS bits FROM quant GROUP BY track, frame, band"),
+    "masks": Relation("SELECT e.track, e.frame, s.b AS band, greatest(min(d.ath_dbfs), max(greatest(e.db, -80e0) + s.s)) AS thr FROM bands e JOIN spread s ON s.m = e.band JOIN band_dim d ON d.band = s.b GROUP BY e.track, e.frame, s.b", lambda s, d: levels.by_band(fixed_levels(s, d), "thr")),
+    "steps": Relation("SELECT track, frame, band, greatest(pow(10e0, (thr - 3e0) / 20e0), 1e-7) AS step FROM masks", lambda s, d: levels.by_band(fixed_levels(s, d), "step")),
+    "quant": Relation("SELECT c.track, c.frame, b.band, b.coeff, c.m, c.c, s.step, CAST(greatest(-2047e0, least(2047e0, RINT(c.c / s.step))) AS SMALLINT) AS q FROM coeffs c JOIN bin_dim b ON b.m = c.m JOIN steps s ON s.track = c.track AND s.frame = c.frame AND s.band = b.band", lambda s, d: levels.long_levels(fixed_levels(s, d))),
+    "costs": Relation("SELECT track, frame, band, 2e0 + sum(CASE WHEN RINT(abs(c) / step) > 0e0 THEN log2(RINT(abs(c) / step) + 1e0) + 1e0 ELSE 0e0 END) AS bits FROM quant GROUP BY track, frame, band", lambda s, d: levels.by_band(fixed_levels(s, d), "bits")),
     "neighbours": Relation("""SELECT f.track, f.frame, f.ftype AS was, a.frame AS k0, b.frame AS k1,
       CASE WHEN f.ftype = 'B' AND (a.frame IS NULL OR b.frame IS NULL) THEN 'K' ELSE f.ftype END AS ftype,
       CASE WHEN f.ftype = 'B' AND (a.frame IS NULL OR b.frame IS NULL) THEN 0 ELSE f.gop_pos END AS gop_pos
       FROM frames f LEFT JOIN frames a ON a.track = f.track AND a.frame = f.frame - f.gop_pos AND a.ftype = 'K'
-      LEFT JOIN frames b ON b.track = f.track AND b.frame = f.frame - f.gop_pos + 8 AND b.ftype = 'K'"""),
-    "key_steps": Relation("""SELECT g.track, g.frame, max(k.frame) AS key_frame FROM neighbours g JOIN neighbours k ON k.track = g.track AND k.ftype = 'K' AND k.frame <= g.frame GROUP BY g.track, g.frame"""),
+      LEFT JOIN frames b ON b.track = f.track AND b.frame = f.frame - f.gop_pos + 8 AND b.ftype = 'K'""", lambda s, d: levels.neighbours(analysis(s, d))),
+    "key_steps": Relation("""SELECT g.track, g.frame, max(k.frame) AS key_frame FROM neighbours g JOIN neighbours k ON k.track = g.track AND k.ftype = 'K' AND k.frame <= g.frame GROUP BY g.track, g.frame""", lambda s, d: levels.key_frames(analysis(s, d))),
     "levels": Relation("""SELECT q.track, q.frame, q.band, q.coeff, d.layer, n.ftype, q.c, q.q,
       least(1e0, (CASE WHEN n.ftype = 'K' THEN least(1e0, abs(q.q) / 31e0) ELSE least(1e0, abs(q.c) / (ks.step * 31e0 + 1e-12)) END) * (CASE WHEN d.layer = 2 THEN 1.15e0 ELSE 1e0 END)) AS steepness,
       CASE WHEN n.ftype = 'K' THEN CAST(sign(q.q) AS INT) ELSE CAST(sign(q.c) AS INT) END AS direction
       FROM quant q JOIN neighbours n ON n.track = q.track AND n.frame = q.frame JOIN band_dim d ON d.band = q.band
-      JOIN key_steps a ON a.track = q.track AND a.frame = q.frame JOIN steps ks ON ks.track = a.track AND ks.frame = a.key_frame AND ks.band = q.band WHERE n.ftype <> 'S'"""),
+      JOIN key_steps a ON a.track = q.track AND a.frame = q.frame JOIN steps ks ON ks.track = a.track AND ks.frame = a.key_frame AND ks.band = q.band WHERE n.ftype <> 'S'""", lambda s, d: levels.steepness(fixed_levels(s, d))),
     "cells": Relation("""SELECT g.track, g.frame, g.band, coalesce(v.steepness, 0e0) AS steepness, coalesce(v.direction, 0) AS direction FROM
       (SELECT track, frame, band FROM grid CROSS JOIN band_dim) g
       LEFT JOIN (SELECT track, frame, band, round(avg(steepness), 4) AS steepness, CAST(sign(sum(direction)) AS INT) AS direction FROM levels GROUP BY track, frame, band) v
-      ON v.track = g.track AND v.frame = g.frame AND v.band = g.band"""),
+      ON v.track = g.track AND v.frame = g.frame AND v.band = g.band""", lambda s, d: levels.cells(fixed_levels(s, d))),
+    # lengths of the prefix code: level or escape with its literal, sign, and the end of a band after the last nonzero level
+    "code_bits": Relation(
+        """SELECT e.track, e.frame, e.band, sum(CASE WHEN e.coeff <= e.last_nz THEN c.len + CASE WHEN abs(e.q) > 31 THEN 12 ELSE 0 END + CASE WHEN e.q <> 0 THEN 1 ELSE 0 END ELSE 0 END)
+      + max(CASE WHEN e.last_nz >= 0 AND e.last_nz < e.last THEN 4 ELSE 0 END) AS bits FROM (SELECT q.track, q.frame, q.band, q.coeff, CAST(q.q AS INT) AS q, max(CASE WHEN q.q <> 0 THEN q.coeff ELSE -1 END) OVER (PARTITION BY q.track, q.frame, q.band) AS last_nz,
+      max(q.coeff) OVER (PARTITION BY q.track, q.frame, q.band) AS last FROM quant q) e JOIN code_dim c ON c.symbol = least(abs(e.q), 32) GROUP BY e.track, e.frame, e.band""",
+        lambda s, d: levels.by_band(fixed_levels(s, d).withColumn("bits", levels.code_lengths("q")), "bits"),
+    ),
+    "peaks": Relation("SELECT q.track, q.band, max(abs(q.c)) AS peak FROM quant q JOIN neighbours n ON n.track = q.track AND n.frame = q.frame WHERE n.ftype <> 'S' GROUP BY q.track, q.band", lambda s, d: levels.band_peaks(fixed_levels(s, d))),
+    "loud": Relation("SELECT q.track, q.frame, q.band, q.coeff, q.c FROM quant q JOIN neighbours n ON n.track = q.track AND n.frame = q.frame WHERE n.ftype <> 'S'", lambda s, d: levels.long_levels(levels.with_neighbours(fixed_levels(s, d)).where("ftype <> 'S'")).select("track", "frame", "band", "coeff", "c")),
     "tone": Relation("SELECT 'tones' AS track, i AS n, 0.5e0 * sin(i * 440e0 * (2e0 * 3.141592653589793e0 / 44100e0)) + 0.3e0 * sin(i * 2000e0 * (2e0 * 3.141592653589793e0 / 44100e0)) + 0.2e0 * sin(i * 9000e0 * (2e0 * 3.141592653589793e0 / 44100e0)) AS x FROM RANGE(0, 8192) t"),
 }
 
@@ -124,7 +125,6 @@ def oracle(sql: str) -> str:
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """The text over relations: those that an operator makes are views of its result, the rest are SQL."""
-    _let_go(spark)
     made: dict[str, DataFrame] = {}
     ctes: list[str] = []
     done: set[str] = set()

@@ -8,11 +8,10 @@ from quadrille.plans.base import shared
 from quadrille.plans.colour_queries import PROJECTED
 
 _M2 = "least(1e0, least(1e0, abs(q.c) / (p.peak + 1e-12)) * (CASE WHEN d.layer = 2 THEN 1.15e0 ELSE 1e0 END))"
-_PEAKS = "(SELECT q.track, q.band, max(abs(q.c)) AS peak FROM quant q JOIN neighbours n ON n.track = q.track AND n.frame = q.frame WHERE n.ftype <> 'S' GROUP BY q.track, q.band)"
 shared("layout_cells_mode1", "SELECT track, frame, band, coeff, layer, round(steepness, 6) AS steepness, direction FROM levels")
-shared("layout_cells_mode2", f"""SELECT q.track, q.frame, q.band, q.coeff, round({_M2}, 6) AS steepness, CAST(sign(q.c) AS INT) AS direction FROM quant q JOIN neighbours n ON n.track = q.track AND n.frame = q.frame
-  JOIN band_dim d ON d.band = q.band JOIN {_PEAKS} p ON p.track = q.track AND p.band = q.band WHERE n.ftype <> 'S'""")
-shared("band_peaks", f"SELECT track, band, round(peak, 9) AS peak FROM {_PEAKS} v")
+shared("layout_cells_mode2", f"""SELECT q.track, q.frame, q.band, q.coeff, round({_M2}, 6) AS steepness, CAST(sign(q.c) AS INT) AS direction FROM loud q
+  JOIN band_dim d ON d.band = q.band JOIN peaks p ON p.track = q.track AND p.band = q.band""")
+shared("band_peaks", "SELECT track, band, round(peak, 9) AS peak FROM peaks")
 shared("band_summary", "SELECT track, frame, band, steepness, direction FROM cells")
 shared("dot_counts", "SELECT track, layer, count(*) AS dots, CAST(sum(CASE WHEN direction = 0 THEN 1 ELSE 0 END) AS BIGINT) AS flat FROM levels GROUP BY track, layer")
 shared("layer_dots", "SELECT track, frame, band, coeff, round(steepness, 4) AS steepness FROM levels WHERE layer IN (0, 2) AND band >= 4 AND band < 30")
@@ -40,10 +39,11 @@ shared("failure_flags", f"""SELECT layer, accuracy, accuracy < (CASE WHEN layer
 shared("confidence_heat", f"SELECT track, frame, band, CAST(floor(255e0 * (1e0 - conf)) AS INT) AS red, CAST(floor(255e0 * conf) AS INT) AS green FROM {_READ} v")
 
 # degradations of pixels
-shared("degrade_fade", f"SELECT track, band, x, f.i AS tenth, CAST(floor(r * (1e0 - f.i / 10e0) + 128e0 * (f.i / 10e0)) AS INT) AS r FROM (SELECT * FROM {_PIXELS} p WHERE frame < 3) v CROSS JOIN RANGE(1, 6) f")
+shared("degrade_fade", f"SELECT track, band, x, f.i AS tenth, CAST(floor(r * (1e0 - f.i / 10e0) + 128e0 * (f.i / 10e0)) AS INT) AS r FROM {_PIXELS} v CROSS JOIN RANGE(1, 6) f")
 shared("degrade_cast", f"SELECT track, band, x, CAST(least(255e0, floor(r * 1.2e0)) AS INT) AS r, CAST(floor(g * 0.9e0) AS INT) AS g, CAST(floor(b * 0.8e0) AS INT) AS b FROM {_PIXELS} v")
-shared("degrade_blur", f"""SELECT track, band, x, CAST(floor(sum(r * w) / sum(w) + 1e-9) AS INT) AS r FROM
-  (SELECT p.track, p.band, p.x + k.i - 2 AS x, p.r, CASE abs(k.i - 2) WHEN 0 THEN 6e0 WHEN 1 THEN 4e0 ELSE 1e0 END AS w FROM {_PIXELS} p CROSS JOIN RANGE(0, 5) k WHERE p.frame < 4) v WHERE x >= 0 AND x < {4 * WIDTH} GROUP BY track, band, x""")
+shared("degrade_blur", f"""SELECT v.track, band, x, CAST(floor(sum(r * w) / sum(w) + 1e-9) AS INT) AS r FROM
+  (SELECT p.track, p.band, p.x + k.i - 2 AS x, p.r, CASE abs(k.i - 2) WHEN 0 THEN 6e0 WHEN 1 THEN 4e0 ELSE 1e0 END AS w FROM {_PIXELS} p CROSS JOIN RANGE(0, 5) k) v
+  JOIN counts n ON n.track = v.track WHERE x >= 0 AND x < n.n_frames * {WIDTH} GROUP BY v.track, band, x""")
 _FADED = PROJECTED.format(table=f"(SELECT q.track, q.frame, q.band, q.px, q.ar, q.ag, q.ab, q.vr, q.vg, q.vb, f.i AS tenth, floor(q.r * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS r, floor(q.g * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS g, floor(q.b * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS b FROM {_PIXELS} q CROSS JOIN RANGE(0, 6) f WHERE q.px IN (2, 6))")
 shared("degrade_sweep", f"""SELECT s.tenth, d.layer, round(avg(conf), 6) AS alpha, round(avg(abs(least(1e0, 2e0 * abs(diff)) - c.steepness)), 6) AS mae FROM
   (SELECT track, frame, band, tenth, sum(CASE WHEN px = 2 THEN -t ELSE t END) AS diff, avg(conf) AS conf FROM {_FADED} v GROUP BY track, frame, band, tenth) s

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadrille.functions.dims import DECAY_PER_FRAME
-from quadrille.operators import codec, framing, resample
-from quadrille.plans.base import shared
+from quadrille.operators import codec, framing, levels, resample
+from quadrille.plans.base import analysis, fixed_levels, shared
 from quadrille.sources import signals
 
 shared("signal_scan", "SELECT track, n, round(x, 9) AS x FROM signal")
@@ -40,34 +40,30 @@ shared("corpus_summary", """SELECT f.track, count(*) AS frames, round(avg(e.bits
 shared("k_neighbors", "SELECT track, frame, coalesce(k0, -1) AS k0, coalesce(k1, -1) AS k1 FROM neighbours")
 shared("promote_boundary", "SELECT track, frame, was, ftype, gop_pos FROM neighbours")
 shared("b_residual", """SELECT n.track, n.frame, c.m, round(c.c - ((1e0 - n.gop_pos / 8e0) * a.c + n.gop_pos / 8e0 * b.c), 6) AS residual FROM neighbours n
-  JOIN coeffs c ON c.track = n.track AND c.frame = n.frame JOIN coeffs a ON a.track = n.track AND a.frame = n.k0 AND a.m = c.m JOIN coeffs b ON b.track = n.track AND b.frame = n.k1 AND b.m = c.m WHERE n.ftype = 'B'""")
+  JOIN coeffs c ON c.track = n.track AND c.frame = n.frame JOIN coeffs a ON a.track = n.track AND a.frame = n.k0 AND a.m = c.m JOIN coeffs b ON b.track = n.track AND b.frame = n.k1 AND b.m = c.m WHERE n.ftype = 'B'""",
+  lambda s, d: levels.residuals(analysis(s, d)).select("track", "frame", F.posexplode("residual").alias("m", "residual")).withColumn("residual", F.round("residual", 6)))
 shared("residual_bands", """SELECT r.track, r.frame, b.band, round(greatest(20e0 * log10(sqrt(avg(r.e * r.e)) + 1e-12), -80e0), 6) AS db FROM
   (SELECT n.track, n.frame, c.m, c.c - ((1e0 - n.gop_pos / 8e0) * a.c + n.gop_pos / 8e0 * b.c) AS e FROM neighbours n
   JOIN coeffs c ON c.track = n.track AND c.frame = n.frame JOIN coeffs a ON a.track = n.track AND a.frame = n.k0 AND a.m = c.m JOIN coeffs b ON b.track = n.track AND b.frame = n.k1 AND b.m = c.m WHERE n.ftype = 'B') r
-  JOIN bin_dim b ON b.m = r.m GROUP BY r.track, r.frame, b.band""")
+  JOIN bin_dim b ON b.m = r.m GROUP BY r.track, r.frame, b.band""",
+  lambda s, d: levels.residual_bands(analysis(s, d)).select("track", "frame", "band", F.round("db", 6).alias("db")))
 shared("asof_steps", "SELECT a.track, a.frame, a.key_frame, s.band, round(s.step, 9) AS step FROM key_steps a JOIN steps s ON s.track = a.track AND s.frame = a.key_frame")
 shared("missing_k_decay", f"""SELECT n.track, n.frame, CASE WHEN n.k1 IS NULL THEN l.last_k ELSE n.k1 END AS key_used, round(CASE WHEN n.k1 IS NULL THEN pow({DECAY_PER_FRAME!r}e0, greatest(n.frame - l.last_k, 0)) ELSE 1e0 END, 9) AS fade
   FROM neighbours n JOIN (SELECT track, max(frame) AS last_k FROM frames WHERE ftype = 'K' GROUP BY track) l ON l.track = n.track""")
 shared("decode_alpha", "SELECT track, frame, band, coeff, round(q * CAST(CAST(step AS REAL) AS DOUBLE) * (1e0 - band / 96e0), 6) AS c FROM quant".replace("REAL", "FLOAT"))
 shared("layer_select", "SELECT q.track, q.frame, q.band, round(sum(abs(CASE WHEN d.layer IN (0, 1) THEN q.q * q.step ELSE 0e0 END)), 6) AS kept FROM quant q JOIN band_dim d ON d.band = q.band GROUP BY q.track, q.frame, q.band")
 shared("bframe_reconstruct", """SELECT n.track, n.frame, c.m, round((1e0 - n.gop_pos / 8e0) * a.q * a.step + n.gop_pos / 8e0 * b.q * b.step + RINT((c.c - ((1e0 - n.gop_pos / 8e0) * a.c + n.gop_pos / 8e0 * b.c)) / c.step) * c.step, 6) AS c
-  FROM neighbours n JOIN quant c ON c.track = n.track AND c.frame = n.frame JOIN quant a ON a.track = n.track AND a.frame = n.k0 AND a.m = c.m JOIN quant b ON b.track = n.track AND b.frame = n.k1 AND b.m = c.m WHERE n.ftype = 'B'""")
+  FROM neighbours n JOIN quant c ON c.track = n.track AND c.frame = n.frame JOIN quant a ON a.track = n.track AND a.frame = n.k0 AND a.m = c.m JOIN quant b ON b.track = n.track AND b.frame = n.k1 AND b.m = c.m WHERE n.ftype = 'B'""",
+  lambda s, d: levels.rebuilt(fixed_levels(s, d)).select("track", "frame", "m", F.round("c", 6).alias("c")))
 
 _SAMPLES = """SELECT track, n, round(sum(y), 6) AS x FROM
   (SELECT c.track, (c.frame - 1) * CAST(1024 AS BIGINT) + k.i AS n, sum(c.c * cos(pi() / 1024e0 * (k.i + 512.5e0) * (c.m + 0.5e0))) * sin(pi() / 2048e0 * (k.i + 0.5e0)) * sqrt(2e0 / 1024e0) AS y
    FROM {source} c CROSS JOIN RANGE(0, 2048) k GROUP BY c.track, c.frame, k.i) v WHERE n >= 0 AND n < (SELECT max(frame) FROM {source}) * 1024 GROUP BY track, n"""
-_FEW = "(SELECT track, frame, m, c FROM coeffs WHERE frame < 4)"
-
-
-def _few(spark, sf_dir):
-    return framing.analysed(signals.event_signal(spark, sf_dir).where("n < 4 * 1024 + 1024")).where("frame < 4").select("track", "frame", "coeffs")
-
-
-shared("overlap_add", _SAMPLES.format(source=_FEW), lambda s, d: framing.overlap_add(_few(s, d)).select("track", "n", F.round("x", 6).alias("x")))
+shared("overlap_add", _SAMPLES.format(source="coeffs"), lambda s, d: framing.overlap_add(analysis(s, d).select("track", "frame", "coeffs")).select("track", "n", F.round("x", 6).alias("x")))
 shared(
     "reverse_frames",
-    _SAMPLES.format(source="(SELECT track, (SELECT max(frame) FROM coeffs WHERE frame < 4) - frame AS frame, m, c FROM coeffs WHERE frame < 4)"),
-    lambda s, d: framing.overlap_add(_few(s, d), reverse=True).select("track", "n", F.round("x", 6).alias("x")),
+    _SAMPLES.format(source="(SELECT c.track, l.last - c.frame AS frame, m, c FROM coeffs c JOIN (SELECT track, max(frame) AS last FROM coeffs GROUP BY track) l ON l.track = c.track)"),
+    lambda s, d: framing.overlap_add(analysis(s, d).select("track", "frame", "coeffs"), reverse=True).select("track", "n", F.round("x", 6).alias("x")),
 )
 
 
@@ -84,16 +80,11 @@ _speed("resample_half", 0.5)
 shared("stop_decay", "SELECT track, n, round(x * exp(-(n / 44100e0) / 0.060e0), 9) AS x FROM type_signal", lambda s, d: resample.at_speed(signals.event_type_signal(s, d), 0.0).select("track", "n", F.round("x", 9).alias("x")))
 shared("duration_capacity", "SELECT track, n_frames, round(n_frames * 1024e0 / 44100e0, 9) AS seconds, CASE WHEN n_frames > 1298 THEN 'over' WHEN n_frames > 779 THEN 'large only' ELSE 'fits' END AS capacity FROM counts")
 
-# lengths of the prefix code: level or escape with its literal, sign, and the end of a band after the last nonzero level
-_CODED = """(SELECT q.track, q.frame, q.band, q.coeff, CAST(q.q AS INT) AS q, max(CASE WHEN q.q <> 0 THEN q.coeff ELSE -1 END) OVER (PARTITION BY q.track, q.frame, q.band) AS last_nz,
-  max(q.coeff) OVER (PARTITION BY q.track, q.frame, q.band) AS last FROM quant q)"""
-_BITS = f"""(SELECT e.track, e.frame, e.band, sum(CASE WHEN e.coeff <= e.last_nz THEN c.len + CASE WHEN abs(e.q) > 31 THEN 12 ELSE 0 END + CASE WHEN e.q <> 0 THEN 1 ELSE 0 END ELSE 0 END)
-  + max(CASE WHEN e.last_nz >= 0 AND e.last_nz < e.last THEN 4 ELSE 0 END) AS bits FROM {_CODED} e JOIN code_dim c ON c.symbol = least(abs(e.q), 32) GROUP BY e.track, e.frame, e.band)"""
 shared("huffman_code_dim", "SELECT symbol, len, bits FROM code_dim")
-shared("huffman_band_bits", f"SELECT track, frame, band, CAST(bits AS BIGINT) AS bits, CAST((bits + 7) // 8 AS BIGINT) AS bytes FROM {_BITS} v")
-shared("layer_byte_size", f"SELECT v.track, v.frame, d.layer, CAST(sum(6 + (bits + 7) // 8) AS BIGINT) AS bytes FROM {_BITS} v JOIN band_dim d ON d.band = v.band GROUP BY v.track, v.frame, d.layer")
-shared("encoded_size", f"""SELECT track, CAST(sum(6 + (bits + 7) // 8) + 36 + count(DISTINCT frame) * 12 AS BIGINT) AS bytes, count(DISTINCT frame) AS frames,
-  round((sum(6 + (bits + 7) // 8) + 36 + count(DISTINCT frame) * 12) * 8e0 / (count(DISTINCT frame) * 1024e0 / 44100e0) / 1000e0, 6) AS kbps FROM {_BITS} v GROUP BY track""")
+shared("huffman_band_bits", "SELECT track, frame, band, CAST(bits AS BIGINT) AS bits, CAST((bits + 7) // 8 AS BIGINT) AS bytes FROM code_bits v")
+shared("layer_byte_size", "SELECT v.track, v.frame, d.layer, CAST(sum(6 + (bits + 7) // 8) AS BIGINT) AS bytes FROM code_bits v JOIN band_dim d ON d.band = v.band GROUP BY v.track, v.frame, d.layer")
+shared("encoded_size", """SELECT track, CAST(sum(6 + (bits + 7) // 8) + 36 + count(DISTINCT frame) * 12 AS BIGINT) AS bytes, count(DISTINCT frame) AS frames,
+  round((sum(6 + (bits + 7) // 8) + 36 + count(DISTINCT frame) * 12) * 8e0 / (count(DISTINCT frame) * 1024e0 / 44100e0) / 1000e0, 6) AS kbps FROM code_bits v GROUP BY track""")
 shared("layer_rms", "SELECT c.track, b.layer, round(sqrt(avg(c.c * c.c)), 9) AS rms FROM coeffs c JOIN bin_dim m ON m.m = c.m JOIN band_dim b ON b.band = m.band GROUP BY c.track, b.layer")
 shared("alpha_curve", """SELECT a.alpha, round(20e0 * log10(sqrt(avg(pow(c.c * a.alpha, 2e0))) / sqrt(avg(c.c * c.c))), 6) AS attenuation_db FROM coeffs c
   CROSS JOIN (SELECT CAST(v AS DOUBLE) AS alpha FROM (VALUES (1.0), (0.7), (0.5), (0.3), (0.1)) AS t(v)) a GROUP BY a.alpha""")
