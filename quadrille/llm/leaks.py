@@ -13,7 +13,7 @@ The benchmark is taken in blocks of a bounded number of items and words, so that
 the space of a block has as many dimensions as the block has items, so that it holds each of them whole, and
 all blocks are held against all texts.
 
-Defined cases: a null or empty text or item matches nothing; a null id is passed through; equal
+Defined cases: an item of fewer words than ``Rules.least_words`` is no passage and is never found; a null or empty text or item matches nothing; a null id is passed through; equal
 items are each reported; an empty benchmark or table gives an empty result; other columns are not read, and
 ``drop_leaks`` returns them as they are.
 """
@@ -27,6 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quadrille.llm.arrays import Words, text_chunks
 from quadrille.llm.spark_io import frugal
@@ -264,12 +265,13 @@ class Block:
         i = np.arange(len(item))
         j = i + self.quota[item] - 1
         i, j = i[j < len(item)], j[j < len(item)]
-        held = (item[i] == item[j]) & (place[j] - place[i] < self.reach[item[i]]) & (words.doc[place[i]] == words.doc[place[j]])
-        for j, a, b in zip(item[i[held]].tolist(), place[i[held]].tolist(), place[j[held]].tolist()):
-            # with the item's length on both sides, as the decision takes it, all stretches that hold both places
-            d, n = int(words.doc[a]), len(self.words[j])
-            rest = (REACH - 1) * n
-            yield d, j, max(b + 1 - rest, int(words.first[d])), min(a + rest, int(words.first[d + 1]))
+        doc = words.doc
+        held = (item[i] == item[j]) & (place[j] - place[i] < self.reach[item[i]]) & (doc[place[i]] == doc[place[j]])
+        which, a, b = item[i[held]], place[i[held]], place[j[held]]
+        # with the item's length on both sides, as the decision takes it, all stretches that hold both places
+        own, rest = doc[a], (REACH - 1) * (self.reach[which] // REACH)
+        low, high = np.maximum(b + 1 - rest, words.first[own]), np.minimum(a + rest, words.first[own + 1])
+        yield from zip(own.tolist(), which.tolist(), low.tolist(), high.tolist())
 
     def _folded(self, at: np.ndarray, known: np.ndarray, begin: np.ndarray, end: np.ndarray, strides: np.ndarray) -> np.ndarray:
         """The latent vectors of some strides."""
@@ -331,6 +333,8 @@ def leaks(blocks: list[Block], texts: pa.Array) -> Iterator[tuple[Block, int, in
 
 def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """(id, item, item_words, common_words, answer_words, overlap): a row for each text and item that match."""
+    if id_col in ("item_id", "item_words", "common_words", "answer_words", "overlap"):
+        raise ValueError("the id has the name of a column that is added")
     kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, item_id {item_kind}, item_words int, common_words int, answer_words int, overlap double"
     spark = df.sparkSession
@@ -345,7 +349,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 at = [x[1] for x in found]
                 n = [len(x[0].words[x[2]]) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[0].ids[x[2]] for x in found], _arrow(item_kind)), pa.array(n, pa.int32()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[4] for x in found], pa.int32()), pa.array([x[3] / m for x, m in zip(found, n)], pa.float64())],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[0].ids[x[2]] for x in found], to_arrow_type(benchmark.schema[item_col].dataType)), pa.array(n, pa.int32()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[4] for x in found], pa.int32()), pa.array([x[3] / m for x, m in zip(found, n)], pa.float64())],
                     names=[id_col, "item_id", "item_words", "common_words", "answer_words", "overlap"],
                 )
 
@@ -353,10 +357,6 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The rows of df that match no benchmark item, with all their columns."""
     at, source = df.columns.index(text_col), df
