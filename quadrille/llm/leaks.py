@@ -336,6 +336,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     if id_col in ("item_id", "item_words", "common_words", "answer_words", "overlap"):
         raise ValueError("the id has the name of a column that is added")
     kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
     schema = f"`{id_col}` {kind}, item_id {item_kind}, item_words int, common_words int, answer_words int, overlap double"
     spark = df.sparkSession
     out = spark.createDataFrame([], schema)
@@ -349,7 +350,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
                 at = [x[1] for x in found]
                 n = [len(x[0].words[x[2]]) for x in found]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[0].ids[x[2]] for x in found], to_arrow_type(benchmark.schema[item_col].dataType)), pa.array(n, pa.int32()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[4] for x in found], pa.int32()), pa.array([x[3] / m for x, m in zip(found, n)], pa.float64())],
+                    [batch.column(0).take(pa.array(at, pa.int64())), pa.array([x[0].ids[x[2]] for x in found], item_type), pa.array(n, pa.int32()), pa.array([x[3] for x in found], pa.int32()), pa.array([x[4] for x in found], pa.int32()), pa.array([x[3] / m for x, m in zip(found, n)], pa.float64())],
                     names=[id_col, "item_id", "item_words", "common_words", "answer_words", "overlap"],
                 )
 

@@ -53,12 +53,17 @@ def _fingerprint_chunk(data: np.ndarray, offsets: np.ndarray, shingle: int) -> n
     text, digest = joined.tobytes(), xxhash.xxh64_intdigest
     starts, ends = at[first].tolist(), (at[first + width[doc]] - 1).tolist()
     hashes = np.fromiter((digest(text[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts))
+    return majority(hashes, shingles)
+
+
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each document, of so many hashes, the bits that are set in over half of them; zero without any."""
     out = np.zeros(len(counts), dtype=np.uint64)
-    held = np.flatnonzero(shingles)
+    held = np.flatnonzero(counts)
     if len(held):
         bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[held], axis=0, dtype=np.int32)
-        out[held] = np.packbits(2 * ones > shingles[held, None], axis=1, bitorder="little").view("<u8")[:, 0]
+        ones = np.add.reduceat(bits, (np.cumsum(counts) - counts)[held], axis=0, dtype=np.int32)
+        out[held] = np.packbits(2 * ones > counts[held, None], axis=1, bitorder="little").view("<u8")[:, 0]
     return out
 
 
@@ -164,9 +169,3 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     named = groups.join(groups.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     alone = distinct.join(ends, "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
     return docs.join(named.union(alone), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that name their group, with all their columns; rows of one id are one document."""
-    keep = simhash_components(df, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("kept id")).distinct()
-    return df.join(keep, F.col(id_col).eqNullSafe(F.col("kept id")), "left_semi")

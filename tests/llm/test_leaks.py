@@ -35,6 +35,12 @@ def test_verbatim_and_paraphrased_items_are_found_and_clean_texts_are_not(spark)
     assert {r.doc_id for r in drop_leaks(df, bench).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def holds(text, item):
+    """Whether a text has all words of an item in a row."""
+    w, x = (text or "").lower().split(), (item or "").lower().split()
+    return len(x) >= 8 and any(w[k : k + len(x)] == x for k in range(len(w) - len(x) + 1))
+
+
 def test_items_of_the_benchmark_inside_documents(spark, documents):
     """Brute force: an item is in a text whose words hold all of the item's, in a row."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
