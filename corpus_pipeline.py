@@ -8,7 +8,7 @@ from quadrille.llm.dedup import cut_repeats
 from quadrille.llm.leaks import drop_leaks
 from quadrille.llm.pieces import encode_pieces
 from quadrille.llm.quality import keep_quality
-from quadrille.llm.simhash import keep_one_of_each
+from quadrille.llm.likeness import keep_one_of_each
 from quadrille.llm.spark_io import table, written
 
 
