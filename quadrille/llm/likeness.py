@@ -21,13 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quadrille.llm.arrays import Rolling, Words, text_chunks
+from quadrille.llm.arrays import Rolling, Words, mix, text_chunks
 from quadrille.llm.components import stars
 from quadrille.llm.simhash import DISTANCE, fingerprint_links, majority
-from quadrille.llm.spark_io import frugal, partitions, written
+from quadrille.llm.spark_io import frugal, partitions, release_shuffles, written
 
 #: Shingles are ordered by counts in so many hashed buckets: an order, not a filter, so that collisions cost nothing but time.
 BUCKETS = 1 << 17
@@ -74,7 +73,7 @@ def shingle_counts(df: DataFrame, text_col: str, width: int) -> np.ndarray:
 
 
 class Sets:
-    """The distinct shingles of each document of a chunk, rarest first, and a name for each set."""
+    """The distinct shingles of each document of a chunk, rarest first, and 64 bits that stand for each set."""
 
     def __init__(self, hashes: np.ndarray, first: np.ndarray, counts: np.ndarray):
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -84,8 +83,9 @@ class Sets:
         fresh[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
         self.hashes, self.first = hashes[fresh], np.searchsorted(doc[fresh], np.arange(len(first)))
         self.sizes = np.diff(self.first)
-        raw = self.hashes.tobytes()
-        self.names = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist())]
+        total = np.zeros(len(self.hashes) + 1, dtype=np.uint64)
+        np.cumsum(mix(self.hashes), out=total[1:])
+        self.names = mix(total[self.first[1:]] - total[self.first[:-1]] + self.sizes.astype(np.uint64)).view(np.int64)
 
     def lists(self, lengths: np.ndarray) -> pa.ListArray:
         """The first so many shingles of each document."""
@@ -106,10 +106,10 @@ def sketched(df: DataFrame, id_col: str, text_col: str, counts, rule: Likeness)
                 prefix = np.where(sets.sizes > 0, sets.sizes - rule.least_common(sets.sizes) + 1, 0)
                 own = batch.slice(row, len(offsets) - 1)
                 fp = pa.array(majority(hashes, np.diff(first)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), fp, pa.array(sets.names, pa.binary()), pa.array(sets.sizes.astype(np.int32)), sets.lists(prefix)], names=["id", "t", "fp", "node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), fp, pa.array(sets.names), pa.array(sets.sizes.astype(np.int32)), sets.lists(prefix)], names=["id", "t", "fp", "node", "n", "prefix"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), text_key(text_col), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, t long, fp long, node binary, n int, prefix array<long>")
+    return df.select(F.col(id_col).alias("id"), text_key(text_col), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, t long, fp long, node long, n int, prefix array<long>")
 
 
 def text_key(text_col: str):
@@ -128,13 +128,15 @@ def verified(df: DataFrame, text_col: str, docs: DataFrame, edges: DataFrame, co
         for batch in batches:
             for _, data, offsets in text_chunks(batch.column(0), CHUNK):
                 sets = Sets(*shingles(data, offsets, rule.shingle), counts.value)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.names, pa.binary()), sets.lists(sets.sizes)], names=["node", "has"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets.names), sets.lists(sets.sizes)], names=["node", "has"])
 
-    sets = texts.select("text").mapInArrow(rows, "node binary, has array<long>")
+    sets = texts.select("text").mapInArrow(rows, "node long, has array<long>")
     both = edges.join(sets.select(F.col("node").alias("u"), F.col("has").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("has").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
     alike = 100 * common.cast("long") >= rule.percent * (F.size("a") + F.size("b") - common).cast("long")
-    return written(both.where(alike).select("u", "v").distinct(), "alike")
+    found = written(both.where(alike).select("u", "v").distinct(), "alike")
+    release_shuffles(df.sparkSession)
+    return found
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -148,6 +150,7 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     counts = spark.sparkContext.broadcast(shingle_counts(df, text_col, rule.shingle))
     docs = written(sketched(df, id_col, text_col, counts, rule), "sketches")
+    release_shuffles(spark)
     nodes = written(docs.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "nodes")
 
     # what SimHash links: sets of one fingerprint, and fingerprints within reach
@@ -157,23 +160,30 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = reach.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = verified(df, text_col, docs, same.union(near), counts, rule)
 
-    # what shares a rare shingle: against the first of its texts, then across groups
-    held = docs.select("node", "n", F.explode("prefix").alias("key"))
-    shared = held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key")
-    met = written(held.join(shared, "key").distinct(), "met")
-    for to_first in (True, False):
+    # what shares a rare shingle: against the text that shares most of those that come first, against all
+    # that come first, then across groups
+    held = docs.select("node", F.explode("prefix").alias("key"))
+    shared = written(held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "shared")
+    release_shuffles(spark)
+    met = written(docs.select("node", "n", F.explode("prefix").alias("key")).join(shared, "key").distinct(), "met")
+    release_shuffles(spark)
+    for step in ("most", "first", "across"):
         marked = _labelled(met, links)
         heads = marked.groupBy("key").agg(F.min(F.struct("node", "label", "n")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         heads = heads.where("lo <> hi").select("key", "head")
-        if to_first:
-            pairs = marked.join(heads, "key").where("label <> head.label").select(F.col("node").alias("u"), F.col("head.node").alias("v"), "n", F.col("head.n").alias("m"))
-        else:
+        if step == "across":
             still = marked.join(heads.select("key"), "key", "left_semi")
             a, b = still.alias("a"), still.alias("b")
-            across = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
-            pairs = a.join(b, across).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+            apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
+            pairs = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+        else:
+            pairs = marked.join(heads, "key").where("label <> head.label").select(F.col("node").alias("u"), F.col("head.node").alias("v"), "n", F.col("head.n").alias("m"))
         pairs = pairs.where(f"100 * least(n, m) >= {rule.percent} * greatest(n, m)")
+        if step == "most":
+            votes = pairs.groupBy("u", "v").agg(F.count("*").alias("votes"))
+            pairs = votes.groupBy("u").agg(F.max(F.struct("votes", "v"))["v"].alias("v"))
         links = written(links.union(verified(df, text_col, docs, pairs, counts, rule)), "links")
+        release_shuffles(spark)
 
     groups = _labelled(nodes.select("node", "least"), links)
     named = groups.join(groups.groupBy("label").agg(F.min("least").alias("component_id")), "label").select("node", "component_id")

@@ -70,8 +70,16 @@ _NORM = r"lower(trim(regexp_replace({}, '\s+', ' ', 'g')))"
     b AS (SELECT c, t, trim(coalesce(string_agg(said, chr(10) ORDER BY i) FILTER (WHERE level = 0), '')) AS body FROM l GROUP BY c, t),
     runs AS (SELECT c, t, level, {_NORM.format("string_agg(said, chr(10) ORDER BY i)")} AS q
       FROM (SELECT *, i - row_number() OVER (PARTITION BY c, t, level ORDER BY i) AS island FROM l) WHERE level > 0 GROUP BY c, t, level, island),
-    says AS (SELECT DISTINCT c, t, {_NORM.format("x")} AS q FROM (SELECT c, t, body AS x FROM b UNION ALL SELECT c, t, unnest(regexp_split_to_array(body, '\n\s*\n')) FROM b UNION ALL SELECT c, t, unnest(string_split(body, chr(10))) FROM b)),
-    found AS (SELECT r.c, r.t, r.level, (SELECT max(s.t) FROM says s WHERE s.c = r.c AND s.q = r.q AND s.t < r.t) AS original FROM runs r WHERE r.q <> ''),
+    bw AS (SELECT c, t, string_split({_NORM.format("body")}, ' ') AS w FROM b),
+    says AS (SELECT DISTINCT c, t, {_NORM.format("x")} AS q FROM (SELECT c, t, body AS x FROM b UNION ALL SELECT c, t, unnest(regexp_split_to_array(body, '\n\s*\n')) FROM b UNION ALL SELECT c, t, unnest(string_split(body, chr(10))) FROM b)
+      UNION SELECT c, t, array_to_string(list_slice(w, i, i + 4), ' ') FROM (SELECT c, t, w, unnest(range(1, len(w) - 3)) AS i FROM bw WHERE len(w) >= 5)),
+    quotes AS (SELECT row_number() OVER () AS r, c, t, level, q, string_split(q, ' ') AS w FROM runs WHERE q <> ''),
+    parts AS (SELECT r, c, t, level, q AS p FROM quotes WHERE len(w) < 5
+      UNION ALL SELECT r, c, t, level, array_to_string(list_slice(w, i, i + 4), ' ') FROM (SELECT *, unnest(range(1, len(w) - 3, 5)) AS i FROM quotes WHERE len(w) >= 5)
+      UNION ALL SELECT r, c, t, level, array_to_string(list_slice(w, len(w) - 4, len(w)), ' ') FROM quotes WHERE len(w) >= 5 AND len(w) % 5 <> 0),
+    named AS (SELECT r, c, t, level, (SELECT max(s.t) FROM says s WHERE s.c = p.c AND s.q = p.p AND s.t < p.t) AS original FROM parts p),
+    votes AS (SELECT r, c, t, level, original, count(*) AS n, sum(count(*)) OVER (PARTITION BY r) AS of FROM named GROUP BY r, c, t, level, original),
+    found AS (SELECT c, t, level, CASE WHEN 2 * max(n) FILTER (WHERE original IS NOT NULL) >= max(of) THEN arg_max(original, n * 1000000000 + original) END AS original FROM votes GROUP BY r, c, t, level),
     links AS (SELECT c, t, count(*) AS n_quotes, count(original) AS n_linked, max(original) FILTER (WHERE level = low) AS replied
       FROM (SELECT *, min(level) FILTER (WHERE original IS NOT NULL) OVER (PARTITION BY c, t) AS low FROM found) GROUP BY c, t),
     p AS (SELECT b.c, b.t, body, replied, coalesce(n_quotes, 0) AS n_quotes, coalesce(n_linked, 0) AS n_linked, lag(b.t) OVER w AS prior, row_number() OVER w AS pos

@@ -1,8 +1,9 @@
 """Sharding by a k-d tree over metadata.
 
 The tree splits its nodes level by level at weighted medians: of the node's dimensions the one with the
-widest spread (of values scaled to one range) is cut so that the bytes on both sides are in
-the ratio of the shards they are to hold. A cut is found for all nodes together by counting bytes in
+widest spread (as a share of its range over the whole table) is cut so that the bytes on both sides are in
+the ratio of the shards they are to hold. The dimensions are metadata that equal texts share: the logarithm of the size,
+the language in alphabetical order, characters by byte, and bytes by word; the text's checksum only orders rows that agree in one. A cut is found for all nodes together by counting bytes in
 ever finer slices of the dimension, so each round is one aggregation of a fixed number of groups
 per node. Equal texts have equal keys in every dimension and stay together, unless the cut falls into
 more bytes of one text than the sizes may differ by: then that group is cut by its ids.
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quadrille.llm.spark_io import partitions, written
 
@@ -27,7 +28,7 @@ SHARDS, EXTRA_BYTES = 24, 8
 SLICES = 4096
 #: Sizes may differ by this share of a shard for a group to stay whole.
 TOLERANCE = 0.002
-DIMENSIONS = ("dim_size", "dim_lang", "dim_crc")
+DIMENSIONS = ("dim_size", "dim_lang", "dim_chars", "dim_words")
 #: Ids are told apart between these bounds.
 LOW, HIGH = -(1 << 61), 1 << 61
 
@@ -52,13 +53,19 @@ def with_keys(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -
     size = F.octet_length(text).cast("long") + EXTRA_BYTES
     crc = F.crc32(F.encode(text, "UTF-8"))
     scaled = lambda value: F.shiftleft(F.least(value.cast("long"), F.lit((1 << 30) - 1)), 32) + F.col("text_crc32")
-    base = df.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"), (F.crc32(F.encode(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "UTF-8")) if lang_col else F.lit(0).cast("long")).alias("lang"))
+    lang = F.encode(F.coalesce(F.col(lang_col).cast("string"), F.lit("")), "UTF-8") if lang_col else F.lit(b"")
+    # the first bytes as a number, which is their alphabetical order
+    order = F.conv(F.rpad(F.hex(F.substring(lang, 1, 3)), 6, "0"), 16, 10).cast("long")
+    words = F.size(F.split(text, r"[\x20\x09-\x0D]+"))
+    base = df.select(F.col(id_col).alias("id"), size.alias("size"), crc.alias("text_crc32"), order.alias("lang"), F.length(text).alias("chars"), words.alias("words"))
+    share = lambda part, of: (part.cast("double") / of * (1 << 20)).cast("long")
     return base.select(
         "id", "size", "text_crc32",
         # logarithmic, so that few long texts don't make the dimension wide
         scaled((F.log2(F.col("size").cast("double")) * (1 << 24)).cast("long")).alias("dim_size"),
-        scaled(F.shiftright("lang", 2)).alias("dim_lang"),
-        scaled(F.shiftright("text_crc32", 2)).alias("dim_crc"),
+        scaled(F.col("lang")).alias("dim_lang"),
+        scaled(share(F.col("chars"), F.col("size"))).alias("dim_chars"),
+        scaled((F.log2(F.col("size") / F.col("words").cast("double")) * (1 << 20)).cast("long")).alias("dim_words"),
     )
 
 
@@ -67,6 +74,10 @@ def _spreads(rows: DataFrame) -> dict[int, tuple]:
     return {r.node: r for r in rows.groupBy("node").agg(F.sum("size").alias("bytes"), *moments).collect()}
 
 
+def _width(r, dim: str) -> int:
+    return (r[f"hi_{dim}"] >> 32) - (r[f"lo_{dim}"] >> 32)
+
+
 def _bounded_id():
     return F.greatest(F.lit(LOW), F.least(F.lit(HIGH - 1), F.coalesce(F.col("id").cast("long"), F.lit(LOW))))
 
@@ -126,18 +137,19 @@ def _search(rows: DataFrame, nodes: list[Node], share: float) -> None:
 def kd_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", shards: int = SHARDS) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) for each row of df."""
     rows = written(with_keys(df, id_col, text_col, lang_col), "keys").withColumn("node", F.lit(0))
-    nodes, share = [Node(0, shards)], None
+    nodes, share, ranges = [Node(0, shards)], None, {}
     while nodes:
         spread = _spreads(rows)
         if share is None:
             share = (sum(r.bytes for r in spread.values()) if spread else 0) / shards
+            ranges = {d: max([1, *(_width(r, d) for r in spread.values())]) for d in DIMENSIONS}
         split = []
         for n in nodes:
             if n.first not in spread:
                 continue
             r = spread[n.first]
             lower = n.shards // 2
-            n.dim = max(DIMENSIONS, key=lambda d: (r[f"hi_{d}"] >> 32) - (r[f"lo_{d}"] >> 32))
+            n.dim = max(DIMENSIONS, key=lambda d: _width(r, d) / ranges[d])
             n.low, n.high = r[f"lo_{n.dim}"], r[f"hi_{n.dim}"] + 1
             n.want = r.bytes * lower // n.shards
             split.append((n, lower))
@@ -158,19 +170,13 @@ def kd_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def _with_slots(rows: DataFrame, id_col: str, shards: int, parts: int) -> DataFrame:
     """Gapless places in each shard: counts of slices of a shard first, then places inside a slice."""
-    from pyspark.sql import Window
-
     per_shard = max(1, -(-parts // shards) * 4)
     sliced = rows.withColumn("slice", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(per_shard)).cast("int"))
-    held = sorted((r.shard, r.slice, r["count"]) for r in sliced.groupBy("shard", "slice").count().collect())
-    starts, last, total = [], None, 0
-    for shard, part, n in held:
-        total = 0 if shard != last else total
-        starts.append((shard, part, total))
-        last, total = shard, total + n
-    before = rows.sparkSession.createDataFrame(starts, "shard int, slice int, begin long")
+    earlier = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    held = sliced.groupBy("shard", "slice").agg(F.count("*").alias("n"))
+    before = held.select("shard", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("begin"))
     nth = F.row_number().over(Window.partitionBy("shard", "slice").orderBy("id", "text_crc32"))
-    return sliced.join(F.broadcast(before), ["shard", "slice"]).select(
+    return sliced.withColumn("nth", nth).join(before, ["shard", "slice"]).select(
         F.col("id").alias(id_col), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-        (F.col("begin") + nth - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+        (F.col("begin") + F.col("nth") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
     )
