@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.spark_io import written
@@ -21,17 +24,21 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = hop
 
 
-def stars(links: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """Links (u, v) turned into stars (u, v): v is the smallest node of u's component, u != v.
+#: Links that one task joins, 16 bytes each; of more, rounds over the whole cluster make stars.
+IN_TASK = 1 << 18
+
+
+def stars(links: DataFrame, most_rounds: int = 64, in_task: int = IN_TASK) -> DataFrame:
+    """Links (u, v) of longs turned into stars (u, v): v is the smallest node of u's component, u != v.
 
-    Alternates the large-star and the small-star step, each a grouped minimum joined back, until the
-    links no longer change; every round is written, so lineage stays short. Rounds grow as the
-    logarithm of the longest path."""
+    Few links are joined by one task. Many go through rounds that alternate the large-star and the small-star step, each a
+    grouped minimum joined back, until the links no longer change; every round is written, so lineage stays short.
+    Rounds grow as the logarithm of the longest path."""
     now = written(_oriented(links), "links")
     seen = _digest(now)
+    if seen[0] <= in_task:
+        return now.coalesce(1).mapInArrow(_joined, "u long, v long")
     for _ in range(most_rounds):
-        if not seen[0]:
-            return now
         now = written(_small(_large(now)), "links")
         fresh = _digest(now)
         if fresh == seen:
@@ -40,6 +47,16 @@ def stars(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for b in batches]
+    if parts:
+        u, v = (np.concatenate([p[i] for p in parts]) for i in range(2))
+        nodes, places = np.unique(np.concatenate((u, v)), return_inverse=True)
+        labels = join_labels(np.arange(len(nodes)), places[: len(u)], places[len(u) :])
+        tied = np.flatnonzero(labels != np.arange(len(labels)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[tied]), pa.array(nodes[labels[tied]])], names=["u", "v"])
+
+
 def _oriented(links: DataFrame) -> DataFrame:
     return links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
