@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from quadrille.llm.arrays import Rolling, Words, mix, text_chunks
@@ -116,25 +117,56 @@ def text_key(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("t")
 
 
-def verified(df: DataFrame, text_col: str, docs: DataFrame, edges: DataFrame, counts, rule: Likeness) -> DataFrame:
-    """The edges (u, v) whose sets are alike; texts are read once more, one for each set that an edge names."""
+def common_shares(first: pa.Array, second: pa.Array, rule: Likeness) -> np.ndarray:
+    """Whether the sets of two texts are alike, pair by pair; some pairs at a time."""
+    lengths = np.cumsum([len(x) + len(y) for x, y in zip(first, second)])
+    out, lo = np.zeros(len(first), dtype=bool), 0
+    while lo < len(first):
+        hi = max(lo + 1, int(np.searchsorted(lengths, (lengths[lo - 1] if lo else 0) + CHUNK, side="right")))
+        keys, sizes = [], []
+        for side in (first[lo:hi], second[lo:hi]):
+            data = np.frombuffer(b"".join(side), np.uint8)
+            hashes, begin = shingles(data, np.concatenate(([0], np.cumsum([len(x) for x in side]))), rule.shingle)
+            pair = np.repeat(np.arange(hi - lo), np.diff(begin))
+            order = np.lexsort((hashes, pair))
+            hashes, pair = hashes[order], pair[order]
+            fresh = np.append(True, (hashes[1:] != hashes[:-1]) | (pair[1:] != pair[:-1]))[: len(pair)]
+            keys.append((pair[fresh], hashes[fresh]))
+            sizes.append(np.bincount(pair[fresh], minlength=hi - lo))
+        pair, hashes = (np.concatenate([k[i] for k in keys]) for i in range(2))
+        order = np.lexsort((hashes, pair))
+        pair, hashes = pair[order], hashes[order]
+        both = np.bincount(pair[1:][(hashes[1:] == hashes[:-1]) & (pair[1:] == pair[:-1])], minlength=hi - lo)
+        out[lo:hi] = 100 * both >= rule.percent * (sizes[0] + sizes[1] - both)
+        lo = hi
+    return out
+
+
+def verified(df: DataFrame, text_col: str, docs: DataFrame, edges: DataFrame, rule: Likeness) -> DataFrame:
+    """The edges (u, v) whose sets are alike; texts are read once more, one for each set that an edge names, and travel packed."""
     edges = written(edges.select("u", "v").distinct(), "candidates")
     named = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    wanted = docs.select("node", "t").join(named, "node").groupBy("node").agg(F.min("t").alias("t")).select("t").distinct()
-    texts = df.select(text_key(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "t", "left_semi").distinct()
+    wanted = docs.select("node", "t").join(named, "node").groupBy("node").agg(F.min("t").alias("t")).select("node", "t")
+    texts = df.select(text_key(text_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(wanted, "t")
 
     @frugal
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for _, data, offsets in text_chunks(batch.column(0), CHUNK):
-                sets = Sets(*shingles(data, offsets, rule.shingle), counts.value)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.names), sets.lists(sets.sizes)], names=["node", "has"])
-
-    sets = texts.select("text").mapInArrow(rows, "node long, has array<long>")
-    both = edges.join(sets.select(F.col("node").alias("u"), F.col("has").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("has").alias("b")), "v")
-    common = F.size(F.array_intersect("a", "b"))
-    alike = 100 * common.cast("long") >= rule.percent * (F.size("a") + F.size("b") - common).cast("long")
-    found = written(both.where(alike).select("u", "v").distinct(), "alike")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(x.encode()) for x in batch.column(1).to_pylist()], pa.binary())], names=["node", "z"])
+
+    # copies of a text leave each task once
+    sets = texts.select("node", "text").mapInArrow(packed, "node long, z binary").groupBy("node").agg(F.first("z").alias("z"))
+
+    @frugal
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            sides = [[unpack(x.as_py()) for x in batch.column(i)] for i in (2, 3)]
+            yield batch.select([0, 1]).filter(pa.array(common_shares(*sides, rule)))
+
+    both = edges.join(sets.select(F.col("node").alias("u"), F.col("z").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("z").alias("b")), "v")
+    found = written(both.select("u", "v", "a", "b").mapInArrow(alike, "u long, v long"), "alike")
     release_shuffles(df.sparkSession)
     return found
 
@@ -158,7 +190,7 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reach = fingerprint_links(heads, DISTANCE, partitions(df))
     same = nodes.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
     near = reach.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = verified(df, text_col, docs, same.union(near), counts, rule)
+    links = verified(df, text_col, docs, same.union(near), rule)
 
     # what shares a rare shingle: against the text that shares most of those that come first, against all
     # that come first, then across groups
@@ -182,7 +214,7 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if step == "most":
             votes = pairs.groupBy("u", "v").agg(F.count("*").alias("votes"))
             pairs = votes.groupBy("u").agg(F.max(F.struct("votes", "v"))["v"].alias("v"))
-        links = written(links.union(verified(df, text_col, docs, pairs, counts, rule)), "links")
+        links = written(links.union(verified(df, text_col, docs, pairs, rule)), "links")
         release_shuffles(spark)
 
     groups = _labelled(nodes.select("node", "least"), links)

@@ -85,7 +85,8 @@ def _links(messages: DataFrame) -> DataFrame:
 
     Who said a part last is asked in slices of turns, and among slices of the latest in each, so that a line that
     one conversation says very often is no single task's."""
-    quoting = messages.where(F.size("passages") > 0)
+    # no message without the mark quotes, which the scan can tell
+    quoting = messages.where(F.contains("text", F.lit(">"))).where(F.size("passages") > 0)
     asked = quoting.select("conv", "turn", "id", F.posexplode("passages").alias("nth", "p"))
     asked = asked.select("conv", "turn", F.posexplode("p.parts").alias("part", "h"), F.lit(0).alias("says"), "id", "nth", F.col("p.level").alias("level")).distinct()
     # only conversations that quote are searched
