@@ -7,7 +7,10 @@ prefix filter: two sets that are alike share one of the first ``n - ceil(bound *
 that all texts agree on; here the rarest come first, so that what very many texts share is nobody's prefix.
 
 Every link is verified on the whole sets. To join groups, not all their pairs are tried: texts of a shingle are
-held against the first of them, and only then those against each other that are still in different groups.
+held against the first of them, and only then those against each other that are still in different groups and that
+their parity fingerprints allow. Bit k of these tells whether the set has an odd number of shingles of class k, so every
+shingle that only one of two sets has flips one bit, and the Hamming distance is never more than their difference,
+which is at most (n + m) / 9 at a similarity of 0.8: what is discarded by it is no link for certain.
 
 Defined cases: A-Z are lower-cased; a text of fewer words than a shingle is one shingle; texts without words are alike;
 texts with equal sets are one node; a row with a null id takes part by its text but never names a group unless all
@@ -32,6 +35,8 @@ from quadrille.llm.spark_io import frugal, partitions, release_shuffles, written
 #: Shingles are ordered by counts in so many hashed buckets: an order, not a filter, so that collisions cost nothing but time.
 BUCKETS = 1 << 17
 CHUNK = 1 << 20
+#: Longs of a parity fingerprint.
+PARITY = 8
 
 
 @dataclass(frozen=True)
@@ -43,6 +48,10 @@ class Likeness:
         """Shingles that a set of n has in common with any that is alike, at least."""
         return -(-self.percent * n // 100)
 
+    def most_apart(self, n, m):
+        """Shingles that only one of two sets of n and m has, at most, if they are alike."""
+        return (100 - self.percent) * (n + m) / (100 + self.percent)
+
 
 def shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles of a chunk, repeats included, and where each document's begin."""
@@ -88,6 +97,17 @@ class Sets:
         np.cumsum(mix(self.hashes), out=total[1:])
         self.names = mix(total[self.first[1:]] - total[self.first[:-1]] + self.sizes.astype(np.uint64)).view(np.int64)
 
+    def parities(self) -> pa.ListArray:
+        """A parity fingerprint for each document; some documents at a time."""
+        bits, out = 64 * PARITY, [np.zeros((0, PARITY), np.int64)]
+        for lo in range(0, len(self.sizes), 4096):
+            hi = min(lo + 4096, len(self.sizes))
+            held = self.hashes[self.first[lo] : self.first[hi]]
+            doc = np.repeat(np.arange(hi - lo), self.sizes[lo:hi])
+            odd = np.bincount(doc * bits + (held % np.uint64(bits)).astype(np.int64), minlength=(hi - lo) * bits) & 1
+            out.append(np.packbits(odd.astype(np.uint8).reshape(hi - lo, bits), axis=1).view(np.int64))
+        return pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(out).ravel()), PARITY).cast(pa.list_(pa.int64()))
+
     def lists(self, lengths: np.ndarray) -> pa.ListArray:
         """The first so many shingles of each document."""
         offsets = np.concatenate(([0], np.cumsum(lengths)))
@@ -96,7 +116,7 @@ class Sets:
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str, counts, rule: Likeness) -> DataFrame:
-    """(id, t, fp, node, n, prefix): for each row the hash of its text, fingerprint, set, its size, and its rarest shingles."""
+    """(id, t, fp, node, n, prefix, odd): for each row the hash of its text, fingerprint, set, its size, its rarest shingles, its parities."""
 
     @frugal
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,10 +127,10 @@ def sketched(df: DataFrame, id_col: str, text_col: str, counts, rule: Likeness)
                 prefix = np.where(sets.sizes > 0, sets.sizes - rule.least_common(sets.sizes) + 1, 0)
                 own = batch.slice(row, len(offsets) - 1)
                 fp = pa.array(majority(hashes, np.diff(first)).view(np.int64))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), fp, pa.array(sets.names), pa.array(sets.sizes.astype(np.int32)), sets.lists(prefix)], names=["id", "t", "fp", "node", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), fp, pa.array(sets.names), pa.array(sets.sizes.astype(np.int32)), sets.lists(prefix), sets.parities()], names=["id", "t", "fp", "node", "n", "prefix", "odd"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), text_key(text_col), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, t long, fp long, node long, n int, prefix array<long>")
+    return df.select(F.col(id_col).alias("id"), text_key(text_col), F.col(text_col).alias("text")).mapInArrow(rows, f"id {kind}, t long, fp long, node long, n int, prefix array<long>, odd array<long>")
 
 
 def text_key(text_col: str):
@@ -183,7 +203,7 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     counts = spark.sparkContext.broadcast(shingle_counts(df, text_col, rule.shingle))
     docs = written(sketched(df, id_col, text_col, counts, rule), "sketches")
     release_shuffles(spark)
-    nodes = written(docs.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp")), "nodes")
+    nodes = written(docs.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), *(F.min(F.get("odd", F.lit(i))).alias(f"odd{i}") for i in range(PARITY))), "nodes")
 
     # what SimHash links: sets of one fingerprint, and fingerprints within reach
     heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
@@ -204,13 +224,15 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         heads = marked.groupBy("key").agg(F.min(F.struct("node", "label", "n")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         heads = heads.where("lo <> hi").select("key", "head")
         if step == "across":
-            still = marked.join(heads.select("key"), "key", "left_semi")
+            odds = [f"odd{i}" for i in range(PARITY)]
+            still = marked.join(heads.select("key"), "key", "left_semi").join(nodes.select("node", *odds), "node")
             a, b = still.alias("a"), still.alias("b")
-            apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label"))
+            differing = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in odds), F.lit(0))
+            apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (differing <= rule.most_apart(F.col("a.n"), F.col("b.n")))
             pairs = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
         else:
             pairs = marked.join(heads, "key").where("label <> head.label").select(F.col("node").alias("u"), F.col("head.node").alias("v"), "n", F.col("head.n").alias("m"))
-        pairs = pairs.where(f"100 * least(n, m) >= {rule.percent} * greatest(n, m)")
+        pairs = pairs.where(f"100L * least(n, m) >= {rule.percent} * greatest(n, m)")
         if step == "most":
             votes = pairs.groupBy("u", "v").agg(F.count("*").alias("votes"))
             pairs = votes.groupBy("u").agg(F.max(F.struct("votes", "v"))["v"].alias("v"))

@@ -1,7 +1,9 @@
 import random
 import re
 
-from quadrille.llm.likeness import Likeness, alike_components, keep_one_of_each
+import numpy as np
+
+from quadrille.llm.likeness import BUCKETS, Likeness, Sets, alike_components, keep_one_of_each
 
 
 def brute_alike(docs, percent=80):
@@ -58,6 +60,17 @@ def test_groups_equal_brute_force_whatever_the_similarity(spark):
     assert lower == brute_alike(dict(rows), 50)
 
 
+def test_parities_never_differ_in_more_than_the_sets():
+    rng = random.Random(4)
+    sets = [np.array(rng.sample(range(3000), rng.randrange(1, 900)), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(60)]
+    first = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    made = Sets(np.concatenate(sets), first, np.zeros(BUCKETS, np.int64))
+    odd = np.array(made.parities().to_pylist(), np.int64)
+    for i in range(60):
+        for j in range(i):
+            assert int(np.bitwise_count(odd[i] ^ odd[j]).sum()) <= len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
+
+
 def test_odd_rows(odd):
     got = {(r.doc_id, r.component_id) for r in alike_components(odd).collect()}
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (6, 6), (7, 6), (None, None)} <= got
