@@ -65,7 +65,7 @@ def test_parities_never_differ_in_more_than_the_sets():
     sets = [np.array(rng.sample(range(3000), rng.randrange(1, 900)), np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(60)]
     first = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
     made = Sets(np.concatenate(sets), first, np.zeros(BUCKETS, np.int64))
-    odd = np.array(made.parities().to_pylist(), np.int64)
+    odd = np.array(made.parities().to_pylist(), np.int64).view(np.uint64)
     for i in range(60):
         for j in range(i):
             assert int(np.bitwise_count(odd[i] ^ odd[j]).sum()) <= len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
