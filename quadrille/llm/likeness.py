@@ -6,8 +6,8 @@ and unrelated ones in 32 by four: no block, pivot or threshold tells these apart
 prefix filter: two sets that are alike share one of the first ``n - ceil(bound * n) + 1`` shingles of each, in any order
 that all texts agree on; here the rarest come first, so that what very many texts share is nobody's prefix.
 
-Every link is verified on the whole sets. To join groups, not all their pairs are tried: texts of a shingle are
-held against the first of them, and only then those against each other that are still in different groups and that
+Every link is verified on the whole sets. To join groups, not all their pairs are tried: in a few rounds each text
+is held against one other that shares a shingle, so that groups grow together; only then are those held against each other that are still in different groups and that
 their parity fingerprints allow. Bit k of these tells whether the set has an odd number of shingles of class k, so every
 shingle that only one of two sets has flips one bit, and the Hamming distance is never more than their difference,
 which is at most (n + m) / 9 at a similarity of 0.8: what is discarded by it is no link for certain.
@@ -37,6 +37,8 @@ BUCKETS = 1 << 17
 CHUNK = 1 << 20
 #: Longs of a parity fingerprint.
 PARITY = 8
+#: Rounds in which each text is held against one other of a different group, before groups are held against each other.
+ROUNDS = 4
 
 
 @dataclass(frozen=True)
@@ -197,6 +199,13 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(named, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
+def _may_be_alike(rule: Likeness, a: str, b: str, m: str | None = None):
+    """Whether sizes and parity fingerprints of two rows allow that they are alike."""
+    differing = sum((F.bit_count(F.col(f"{a}.odd{i}").bitwiseXOR(F.col(f"{b}.odd{i}"))) for i in range(PARITY)), F.lit(0))
+    n, m = F.col(f"{a}.n").cast("long"), F.col(m or f"{b}.n").cast("long")
+    return (100 * F.least(n, m) >= rule.percent * F.greatest(n, m)) & (differing <= rule.most_apart(n, m))
+
+
 def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Likeness = Likeness()) -> DataFrame:
     """(id, component_id) for each row of df: the smallest id of all that links reach."""
     spark = df.sparkSession
@@ -212,30 +221,32 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = reach.join(heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), "u").join(heads.select(F.col("fp").alias("v"), F.col("head").alias("b")), "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
     links = verified(df, text_col, docs, same.union(near), rule)
 
-    # what shares a rare shingle: against the text that shares most of those that come first, against all
-    # that come first, then across groups
+    # what shares a rare shingle: each text against one likely other, round by round, then across groups
     held = docs.select("node", F.explode("prefix").alias("key"))
     shared = written(held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "shared")
     release_shuffles(spark)
     met = written(docs.select("node", "n", F.explode("prefix").alias("key")).join(shared, "key").distinct(), "met")
     release_shuffles(spark)
-    for step in ("most", "first", "across"):
+    odds = [f"odd{i}" for i in range(PARITY)]
+    parity = nodes.select("node", *odds)
+    for step in range(ROUNDS + 1):
         marked = _labelled(met, links)
-        heads = marked.groupBy("key").agg(F.min(F.struct("node", "label", "n")).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        # the first round's heads are the same for all shingles of a group, later ones differ from shingle to shingle
+        order = F.col("node") if step == 0 else F.xxhash64("key", "node", F.lit(step))
+        heads = marked.groupBy("key").agg(F.min_by(F.struct("node", "label", "n"), order).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         heads = heads.where("lo <> hi").select("key", "head")
-        if step == "across":
-            odds = [f"odd{i}" for i in range(PARITY)]
-            still = marked.join(heads.select("key"), "key", "left_semi").join(nodes.select("node", *odds), "node")
+        if step == ROUNDS:
+            still = marked.join(heads.select("key"), "key", "left_semi").join(parity, "node")
             a, b = still.alias("a"), still.alias("b")
-            differing = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in odds), F.lit(0))
-            apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & (differing <= rule.most_apart(F.col("a.n"), F.col("b.n")))
-            pairs = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"), F.col("a.n").alias("n"), F.col("b.n").alias("m"))
+            apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & _may_be_alike(rule, "a", "b")
+            pairs = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
         else:
             pairs = marked.join(heads, "key").where("label <> head.label").select(F.col("node").alias("u"), F.col("head.node").alias("v"), "n", F.col("head.n").alias("m"))
-        pairs = pairs.where(f"100L * least(n, m) >= {rule.percent} * greatest(n, m)")
-        if step == "most":
-            votes = pairs.groupBy("u", "v").agg(F.count("*").alias("votes"))
-            pairs = votes.groupBy("u").agg(F.max(F.struct("votes", "v"))["v"].alias("v"))
+            votes = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("votes")).alias("p")
+            a = votes.join(parity.alias("x"), F.col("p.u") == F.col("x.node")).select("p.*", *(F.col(f"x.{c}").alias(f"x{c}") for c in odds))
+            a, b = a.select("u", "v", "m", "votes", "n", *(F.col(f"x{c}").alias(c) for c in odds)).alias("a"), parity.withColumnRenamed("node", "w").alias("b")
+            likely = a.join(b, F.col("a.v") == F.col("b.w")).where(_may_be_alike(rule, "a", "b", m="a.m"))
+            pairs = likely.groupBy("a.u").agg(F.max(F.struct(F.col("a.votes"), F.col("a.v")))["v"].alias("v"))
         links = written(links.union(verified(df, text_col, docs, pairs, rule)), "links")
         release_shuffles(spark)
 
