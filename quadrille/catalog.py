@@ -25,7 +25,7 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from quadrille.plans import colour_queries, layout_queries, live_queries, round_trips, signal_queries  # noqa: F401
+    from quadrille.plans import camera_queries, colour_queries, layout_queries, live_queries, round_trips, signal_queries  # noqa: F401
 
 
 load()

@@ -20,7 +20,7 @@ def components(mask: DataFrame) -> DataFrame:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-"))
-    node = runs(mask).withColumn("id", F.col("y").cast("long") * 1_000_000 + F.col("x0")).checkpoint()
+    node = runs(mask).withColumn("id", F.shiftleft(F.col("y").cast("long"), 32) + F.col("x0")).checkpoint()
     a, b = node.alias("a"), node.alias("b")
     touch = a.join(b, (F.col("a.img") == F.col("b.img")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("b.x1") >= F.col("a.x0")))
     links = touch.select(F.col("a.img").alias("img"), F.col("a.id").alias("u"), F.col("b.id").alias("v"))

@@ -120,7 +120,7 @@ def needed(sql: str) -> list[str]:
 def oracle(sql: str) -> str:
     names = needed(sql)
     ctes = ", ".join(f"{n} AS ({dialect.duck(RELATIONS[n].sql)})" for n in names)
-    return f"WITH {ctes} {dialect.duck(sql)}" if names else dialect.duck(sql)
+    return f"WITH RECURSIVE {ctes} {dialect.duck(sql)}" if names else dialect.duck(sql)
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -20,12 +20,12 @@ WIDTH = 8
 _CELL_COLOURS = """(SELECT c.track, c.frame, c.band, c.steepness, c.direction, a.r AS ar, a.g AS ag, a.b AS ab, b.r - a.r AS vr, b.g - a.g AS vg, b.b - a.b AS vb
   FROM cells c JOIN band_dim d ON d.band = c.band JOIN palette a ON a.name = d.color_a JOIN palette b ON b.name = d.color_b)"""
 _BLEND = "(CASE WHEN direction = 0 OR steepness < 0.001e0 THEN 0e0 WHEN direction > 0 THEN (i / {w}e0) * steepness ELSE (1e0 - i / {w}e0) * steepness END)"
-_PIXELS = f"""(SELECT track, frame, band, i AS px, frame * {WIDTH} + i AS x, ar, ag, ab, vr, vg, vb, floor(ar + vr * {_BLEND.format(w=WIDTH)}) AS r, floor(ag + vg * {_BLEND.format(w=WIDTH)}) AS g, floor(ab + vb * {_BLEND.format(w=WIDTH)}) AS b
+PIXELS = f"""(SELECT track, frame, band, i AS px, frame * {WIDTH} + i AS x, ar, ag, ab, vr, vg, vb, floor(ar + vr * {_BLEND.format(w=WIDTH)}) AS r, floor(ag + vg * {_BLEND.format(w=WIDTH)}) AS g, floor(ab + vb * {_BLEND.format(w=WIDTH)}) AS b
   FROM {_CELL_COLOURS} c CROSS JOIN RANGE(0, {WIDTH}) t)"""
-shared("strip_pixels", f"SELECT track, band, x, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM {_PIXELS} v")
+shared("strip_pixels", f"SELECT track, band, x, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM {PIXELS} v")
 shared("cell_midpoint", "SELECT track, frame, band, CAST(floor(ar + vr * 0.5e0 * steepness) AS INT) AS r, CAST(floor(ag + vg * 0.5e0 * steepness) AS INT) AS g, CAST(floor(ab + vb * 0.5e0 * steepness) AS INT) AS b FROM " + _CELL_COLOURS + " v")
 # a cell is read at a quarter and at three quarters; at this width both fall on pixels
-_SIDES = PROJECTED.format(table=f"(SELECT * FROM {_PIXELS} v WHERE px = {WIDTH // 4} OR px = {3 * WIDTH // 4})")
+_SIDES = PROJECTED.format(table=f"(SELECT * FROM {PIXELS} v WHERE px = {WIDTH // 4} OR px = {3 * WIDTH // 4})")
 _READ = f"""(SELECT track, frame, band, least(1e0, 2e0 * abs(diff)) AS steepness, CASE WHEN abs(diff) < 0.008e0 THEN 0 WHEN diff > 0e0 THEN 1 ELSE -1 END AS direction, conf FROM
   (SELECT track, frame, band, sum(CASE WHEN px = {WIDTH // 4} THEN -t ELSE t END) AS diff, avg(conf) AS conf FROM {_SIDES} s GROUP BY track, frame, band) d)"""
 shared("strip_read", f"SELECT track, frame, band, round(steepness, 6) AS steepness, direction, round(conf, 6) AS conf FROM {_READ} v")
@@ -39,12 +39,12 @@ shared("failure_flags", f"""SELECT layer, accuracy, accuracy < (CASE WHEN layer
 shared("confidence_heat", f"SELECT track, frame, band, CAST(floor(255e0 * (1e0 - conf)) AS INT) AS red, CAST(floor(255e0 * conf) AS INT) AS green FROM {_READ} v")
 
 # degradations of pixels
-shared("degrade_fade", f"SELECT track, band, x, f.i AS tenth, CAST(floor(r * (1e0 - f.i / 10e0) + 128e0 * (f.i / 10e0)) AS INT) AS r FROM {_PIXELS} v CROSS JOIN RANGE(1, 6) f")
-shared("degrade_cast", f"SELECT track, band, x, CAST(least(255e0, floor(r * 1.2e0)) AS INT) AS r, CAST(floor(g * 0.9e0) AS INT) AS g, CAST(floor(b * 0.8e0) AS INT) AS b FROM {_PIXELS} v")
+shared("degrade_fade", f"SELECT track, band, x, f.i AS tenth, CAST(floor(r * (1e0 - f.i / 10e0) + 128e0 * (f.i / 10e0)) AS INT) AS r FROM {PIXELS} v CROSS JOIN RANGE(1, 6) f")
+shared("degrade_cast", f"SELECT track, band, x, CAST(least(255e0, floor(r * 1.2e0)) AS INT) AS r, CAST(floor(g * 0.9e0) AS INT) AS g, CAST(floor(b * 0.8e0) AS INT) AS b FROM {PIXELS} v")
 shared("degrade_blur", f"""SELECT v.track, band, x, CAST(floor(sum(r * w) / sum(w) + 1e-9) AS INT) AS r FROM
-  (SELECT p.track, p.band, p.x + k.i - 2 AS x, p.r, CASE abs(k.i - 2) WHEN 0 THEN 6e0 WHEN 1 THEN 4e0 ELSE 1e0 END AS w FROM {_PIXELS} p CROSS JOIN RANGE(0, 5) k) v
+  (SELECT p.track, p.band, p.x + k.i - 2 AS x, p.r, CASE abs(k.i - 2) WHEN 0 THEN 6e0 WHEN 1 THEN 4e0 ELSE 1e0 END AS w FROM {PIXELS} p CROSS JOIN RANGE(0, 5) k) v
   JOIN counts n ON n.track = v.track WHERE x >= 0 AND x < n.n_frames * {WIDTH} GROUP BY v.track, band, x""")
-_FADED = PROJECTED.format(table=f"(SELECT q.track, q.frame, q.band, q.px, q.ar, q.ag, q.ab, q.vr, q.vg, q.vb, f.i AS tenth, floor(q.r * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS r, floor(q.g * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS g, floor(q.b * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS b FROM {_PIXELS} q CROSS JOIN RANGE(0, 6) f WHERE q.px IN (2, 6))")
+_FADED = PROJECTED.format(table=f"(SELECT q.track, q.frame, q.band, q.px, q.ar, q.ag, q.ab, q.vr, q.vg, q.vb, f.i AS tenth, floor(q.r * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS r, floor(q.g * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS g, floor(q.b * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS b FROM {PIXELS} q CROSS JOIN RANGE(0, 6) f WHERE q.px IN (2, 6))")
 shared("degrade_sweep", f"""SELECT s.tenth, d.layer, round(avg(conf), 6) AS alpha, round(avg(abs(least(1e0, 2e0 * abs(diff)) - c.steepness)), 6) AS mae FROM
   (SELECT track, frame, band, tenth, sum(CASE WHEN px = 2 THEN -t ELSE t END) AS diff, avg(conf) AS conf FROM {_FADED} v GROUP BY track, frame, band, tenth) s
   JOIN cells c ON c.track = s.track AND c.frame = s.frame AND c.band = s.band JOIN band_dim d ON d.band = s.band GROUP BY s.tenth, d.layer""")
@@ -60,8 +60,7 @@ shared("spiral_map", """SELECT rpm, per_rev, f.i AS frame, CAST(least(f.i // per
   (SELECT v AS rpm, CAST(RINT(44100e0 / 1024e0 / (v / 60e0)) AS INT) AS per_rev FROM (SELECT 33 AS v UNION ALL SELECT 45 AS v UNION ALL SELECT 78 AS v) r) p CROSS JOIN RANGE(0, 400) f""")
 shared("disc_sample_points", "SELECT band, f.i AS frame, s.i AS side, round((60e0 + (band + 0.5e0) * 5e0) * sin((f.i + 0.25e0 + 0.5e0 * s.i) * 0.0654498469e0), 6) AS dx, round(-(60e0 + (band + 0.5e0) * 5e0) * cos((f.i + 0.25e0 + 0.5e0 * s.i) * 0.0654498469e0), 6) AS dy FROM band_dim CROSS JOIN RANGE(0, 96) f CROSS JOIN RANGE(0, 2) s")
 shared("bilinear_sample", f"""SELECT s.track, s.band, s.sx, round(sum(p.r * CASE WHEN p.x = floor(s.sx) THEN 1e0 - (s.sx - floor(s.sx)) ELSE s.sx - floor(s.sx) END), 6) AS r FROM
-  (SELECT track, band, frame * {WIDTH} + 1.3e0 AS sx FROM cells) s JOIN {_PIXELS} p ON p.track = s.track AND p.band = s.band AND (p.x = CAST(floor(s.sx) AS INT) OR p.x = CAST(floor(s.sx) AS INT) + 1) GROUP BY s.track, s.band, s.sx""")
-shared("homography_points", "SELECT x.i AS x, y.i AS y, round((1.1e0 * x.i + 0.02e0 * y.i + 5e0) / (0.0004e0 * x.i + 0.0002e0 * y.i + 1e0), 6) AS u, round((0.03e0 * x.i + 0.95e0 * y.i + 7e0) / (0.0004e0 * x.i + 0.0002e0 * y.i + 1e0), 6) AS v FROM RANGE(0, 40) x CROSS JOIN RANGE(0, 40) y")
+  (SELECT track, band, frame * {WIDTH} + 1.3e0 AS sx FROM cells) s JOIN {PIXELS} p ON p.track = s.track AND p.band = s.band AND (p.x = CAST(floor(s.sx) AS INT) OR p.x = CAST(floor(s.sx) AS INT) + 1) GROUP BY s.track, s.band, s.sx""")
 shared("print_tiles", """SELECT track, CAST(frame // per_tile AS INT) AS tile, count(*) AS frames, min(frame) AS first_frame, round(max(cell_mm) * count(*), 6) AS width_mm FROM
   (SELECT g.track, g.frame, greatest(0.3e0, least(10e0, 30e0 / c.n_frames)) AS cell_mm, CAST(greatest(1e0, floor(10e0 / greatest(0.3e0, least(10e0, 30e0 / c.n_frames)))) AS INT) AS per_tile FROM grid g JOIN counts c ON c.track = g.track) v GROUP BY track, frame // per_tile""")
 shared("window_frames", "SELECT track, frame, frame - 2 AS local_frame FROM grid WHERE frame >= 2 AND frame < 2 + 33")
@@ -69,14 +68,7 @@ shared("gif_thinning", "SELECT i AS frame, CAST(i // greatest(1, 1000 // 120) AS
 shared("video_cadence", "SELECT i AS video_frame, CAST(floor(i * (44100e0 / 1024e0 / 30e0)) AS INT) AS audio_frame FROM RANGE(0, 300) t")
 shared("warp_scale", "SELECT i AS width, CAST(least(16e0, greatest(4e0, ceil(i * 4e0 / 300e0))) AS INT) AS scale FROM RANGE(100, 1500) t WHERE i % 100 = 0")
 
-# marks in images: a made-up mask of squares
+# runs in a made-up mask of squares
 _MASK = "(SELECT x.i AS x, y.i AS y FROM RANGE(0, 60) x CROSS JOIN RANGE(0, 40) y WHERE (x.i >= 3 AND x.i < 9 AND y.i >= 2 AND y.i < 8) OR (x.i >= 50 AND x.i < 56 AND y.i >= 3 AND y.i < 9) OR (x.i >= 4 AND x.i < 10 AND y.i >= 30 AND y.i < 36) OR (x.i >= 49 AND x.i < 55 AND y.i >= 31 AND y.i < 37) OR (x.i >= 25 AND x.i < 28 AND y.i >= 15 AND y.i < 17))"
-_BLOBS = f"(SELECT gx * 10 + gy AS blob, avg(x) AS cx, avg(y) AS cy, count(*) AS area, round((max(x) - min(x) + 1e0) / (max(y) - min(y) + 1e0), 6) AS aspect FROM (SELECT x, y, x // 20 AS gx, y // 14 AS gy FROM {_MASK} m) v GROUP BY gx, gy)"
-shared("blob_stats", f"SELECT CAST(blob AS INT) AS blob, round(cx, 6) AS cx, round(cy, 6) AS cy, area, aspect FROM {_BLOBS} v")
-shared("blob_filter_topk", f"SELECT CAST(blob AS INT) AS blob, area FROM (SELECT blob, area, row_number() OVER (ORDER BY area DESC, blob) AS k FROM {_BLOBS} v WHERE area >= 10 AND aspect >= 0.5e0 AND aspect <= 2e0) w WHERE k <= 4")
-shared("best_quad", f"""SELECT CAST(a.blob AS INT) AS p, CAST(b.blob AS INT) AS q, CAST(c.blob AS INT) AS r, CAST(d.blob AS INT) AS s, round((greatest(a.cx, b.cx, c.cx, d.cx) - least(a.cx, b.cx, c.cx, d.cx)) * (greatest(a.cy, b.cy, c.cy, d.cy) - least(a.cy, b.cy, c.cy, d.cy))
-  * exp(-abs(ln((greatest(a.cx, b.cx, c.cx, d.cx) - least(a.cx, b.cx, c.cx, d.cx)) / (greatest(a.cy, b.cy, c.cy, d.cy) - least(a.cy, b.cy, c.cy, d.cy)) / 1.6e0))), 6) AS score
-  FROM {_BLOBS} a JOIN {_BLOBS} b ON a.blob < b.blob JOIN {_BLOBS} c ON b.blob < c.blob JOIN {_BLOBS} d ON c.blob < d.blob""")
-shared("corner_order", f"SELECT CAST(blob AS INT) AS blob, CASE WHEN top = 1 AND side = 1 THEN 'TL' WHEN top = 1 THEN 'TR' WHEN side = 1 THEN 'BL' ELSE 'BR' END AS corner FROM (SELECT blob, top, row_number() OVER (PARTITION BY top ORDER BY cx) AS side FROM (SELECT blob, cx, CASE WHEN row_number() OVER (ORDER BY cy, cx) <= 2 THEN 1 ELSE 2 END AS top FROM {_BLOBS} v WHERE area > 10) t) w")
 shared("longest_run", f"SELECT y, max(n) AS longest FROM (SELECT y, x - k AS island, count(*) AS n FROM (SELECT y, x, row_number() OVER (PARTITION BY y ORDER BY x) AS k FROM {_MASK} m) v GROUP BY y, x - k) w GROUP BY y")
 shared("border_scan", f"SELECT min(y) AS first_row, max(y) AS last_row FROM (SELECT y, max(n) AS longest FROM (SELECT y, x - k AS island, count(*) AS n FROM (SELECT y, x, row_number() OVER (PARTITION BY y ORDER BY x) AS k FROM {_MASK} m) v GROUP BY y, x - k) w GROUP BY y) z WHERE longest >= 5")
