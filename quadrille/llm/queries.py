@@ -122,7 +122,21 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
-@query("op6_bucket_pointer_dedup")
+@query(
+    "op6_bucket_pointer_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+    win AS (SELECT doc_id, i, md5(substr(x, 2 * i - 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(1, n - 98)) AS i FROM d WHERE n >= 100)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+    fresh AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER w <= 100 THEN 0 ELSE 1 END AS begins FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM fresh) GROUP BY doc_id, r),
+    ends AS (SELECT doc_id, a, b FROM spans UNION ALL SELECT doc_id, n + 1, n + 1 FROM d),
+    gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 1) AS from_b FROM ends),
+    kept AS (SELECT g.doc_id, sum(b - a) AS n_removed, count(*) - 1 AS n_spans, string_agg(substr(x, 2 * from_b - 1, 2 * (a - from_b)), '' ORDER BY a, b) AS t
+      FROM gaps g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+    SELECT d.doc_id, d.n AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.t, ''))) AS kept_sha256
+    FROM d JOIN kept ON kept.doc_id = d.doc_id""",
+)
 def op6_bucket_pointer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
