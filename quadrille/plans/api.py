@@ -65,5 +65,10 @@ def bench(signal: DataFrame, rates: tuple[float, ...] = (6.0, 12.0, 32.0, 96.0))
     return out.groupBy("track").pivot("kbps", list(rates)).agg(F.first("snr_db"))
 
 
+def write_results(reads: DataFrame, path: str) -> None:
+    """What was read, a JSON object a line."""
+    reads.write.mode("overwrite").json(path)
+
+
 def write_csv(report: DataFrame, path: str) -> None:
     report.write.mode("overwrite").option("header", True).csv(path)

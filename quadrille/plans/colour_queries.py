@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from quadrille.functions.colour_sql import ciede2000, with_lab, with_rgb
+from quadrille.functions.colour_sql import ciede2000, linear, with_lab, with_rgb
 from quadrille.plans.base import shared
 
-_LAB = with_lab("palette")
+LAB = with_lab("palette")
 _PAIR_LAB = f"""(SELECT p.name AS color_a, p.ord AS ord_a, q.name AS color_b, q.ord AS ord_b, p.lab_l AS l1, p.lab_a AS a1, p.lab_b AS b1, q.lab_l AS l2, q.lab_a AS a2, q.lab_b AS b2
-  FROM {_LAB} p JOIN {_LAB} q ON p.ord < q.ord)"""
+  FROM {LAB} p JOIN {LAB} q ON p.ord < q.ord)"""
 _PAIR_DE = f"(SELECT color_a, color_b, ord_a, ord_b, de FROM {ciede2000(_PAIR_LAB)} d)"
 #: ten steps of an even way through the colour space, as colours that can be shown, and the difference of neighbours
 _WAY = f"(SELECT p.*, i AS step, l1 + (l2 - l1) * (i / 10e0) AS wl, a1 + (a2 - a1) * (i / 10e0) AS wa, b1 + (b2 - b1) * (i / 10e0) AS wb FROM {_PAIR_LAB} p CROSS JOIN RANGE(0, 11) t)"
@@ -16,14 +16,16 @@ _MONO = f"(SELECT color_a, color_b, min(de) AS mono FROM {ciede2000(_STEPS)} m G
 _SCORES = f"""(SELECT d.color_a, d.color_b, d.ord_a, d.ord_b, round(d.de, 2) AS delta_e, round(m.mono, 3) AS min_step, round(2e0 * d.de * (10e0 * m.mono) / (d.de + 10e0 * m.mono + 1e-9), 2) AS composite
   FROM {_PAIR_DE} d JOIN {_MONO} m ON m.color_a = d.color_a AND m.color_b = d.color_b)"""
 
-shared("color_linear", "SELECT name, round(pow((r / 255e0 + 0.055e0) / 1.055e0, 2.4e0), 9) AS red FROM palette WHERE r > 11")
-shared("color_lab", f"SELECT name, round(lab_l, 6) AS l, round(lab_a, 6) AS a, round(lab_b, 6) AS b FROM {_LAB} v")
+shared("color_linear", f"SELECT name, round({linear('r')}, 9) AS red, round({linear('g')}, 9) AS green, round({linear('b')}, 9) AS blue FROM palette")
+shared("color_lab", f"SELECT name, round(lab_l, 6) AS l, round(lab_a, 6) AS a, round(lab_b, 6) AS b FROM {LAB} v")
 shared("color_lab_lerp", f"""SELECT color_a, color_b, step, red, green, blue FROM {with_rgb(f"(SELECT color_a, color_b, i AS step, l1 + (l2 - l1) * (i / 8e0 + 0.003e0) AS l, a1 + (a2 - a1) * (i / 8e0 + 0.003e0) AS a, b1 + (b2 - b1) * (i / 8e0 + 0.003e0) AS b FROM {_PAIR_LAB} p CROSS JOIN RANGE(0, 8) t)", 'l', 'a', 'b')} v""")
 shared("color_cmyk", """SELECT name, CAST(RINT(100e0 * CASE WHEN k < 1e0 THEN (c - k) / (1e0 - k) ELSE 0e0 END) AS INT) AS cyan, CAST(RINT(100e0 * CASE WHEN k < 1e0 THEN (m - k) / (1e0 - k) ELSE 0e0 END) AS INT) AS magenta,
   CAST(RINT(100e0 * CASE WHEN k < 1e0 THEN (y - k) / (1e0 - k) ELSE 0e0 END) AS INT) AS yellow, CAST(RINT(100e0 * k) AS INT) AS black
   FROM (SELECT name, 1e0 - r / 255e0 AS c, 1e0 - g / 255e0 AS m, 1e0 - b / 255e0 AS y, least(1e0 - r / 255e0, 1e0 - g / 255e0, 1e0 - b / 255e0) AS k FROM palette) v""")
-shared("ink_cap", """SELECT name, cap, round(total * least(1e0, cap / greatest(total, 1e-9)), 6) AS ink FROM
-  (SELECT name, (255e0 - r) / 255e0 * 100e0 + (255e0 - g) / 255e0 * 100e0 + (255e0 - b) / 255e0 * 100e0 AS total FROM palette) v CROSS JOIN (SELECT 300e0 AS cap UNION ALL SELECT 150e0 AS cap) c""")
+shared("ink_cap", """SELECT name, cap, round((c - k + m - k + y - k) / greatest(1e0 - k, 1e-9) * 100e0 + k * 100e0, 6) AS asked,
+  round(((c - k + m - k + y - k) / greatest(1e0 - k, 1e-9) * 100e0 + k * 100e0) * least(1e0, cap / greatest((c - k + m - k + y - k) / greatest(1e0 - k, 1e-9) * 100e0 + k * 100e0, 1e-9)), 6) AS ink
+  FROM (SELECT name, 1e0 - r / 255e0 AS c, 1e0 - g / 255e0 AS m, 1e0 - b / 255e0 AS y, least(1e0 - r / 255e0, 1e0 - g / 255e0, 1e0 - b / 255e0) AS k FROM palette) v
+  CROSS JOIN (SELECT 300e0 AS cap UNION ALL SELECT 150e0 AS cap) c""")
 shared("ciede2000_pairs", f"SELECT color_a, color_b, round(de, 2) AS delta_e FROM {_PAIR_DE} v")
 shared("pair_monotonicity", f"SELECT color_a, color_b, round(mono, 3) AS min_step FROM {_MONO} v")
 shared("pair_scores", f"SELECT color_a, color_b, delta_e, min_step, composite FROM {_SCORES} v")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
+from quadrille.functions.colour_sql import with_rgb
 from quadrille.plans.base import shared
-from quadrille.plans.colour_queries import PROJECTED
+from quadrille.plans.colour_queries import LAB, PROJECTED
 
 _M2 = "least(1e0, least(1e0, abs(q.c) / (p.peak + 1e-12)) * (CASE WHEN d.layer = 2 THEN 1.15e0 ELSE 1e0 END))"
 shared("layout_cells_mode1", "SELECT track, frame, band, coeff, layer, round(steepness, 6) AS steepness, direction FROM levels")
@@ -23,7 +24,10 @@ _BLEND = "(CASE WHEN direction = 0 OR steepness < 0.001e0 THEN 0e0 WHEN directio
 PIXELS = f"""(SELECT track, frame, band, i AS px, frame * {WIDTH} + i AS x, ar, ag, ab, vr, vg, vb, floor(ar + vr * {_BLEND.format(w=WIDTH)}) AS r, floor(ag + vg * {_BLEND.format(w=WIDTH)}) AS g, floor(ab + vb * {_BLEND.format(w=WIDTH)}) AS b
   FROM {_CELL_COLOURS} c CROSS JOIN RANGE(0, {WIDTH}) t)"""
 shared("strip_pixels", f"SELECT track, band, x, CAST(r AS INT) AS r, CAST(g AS INT) AS g, CAST(b AS INT) AS b FROM {PIXELS} v")
-shared("cell_midpoint", "SELECT track, frame, band, CAST(floor(ar + vr * 0.5e0 * steepness) AS INT) AS r, CAST(floor(ag + vg * 0.5e0 * steepness) AS INT) AS g, CAST(floor(ab + vb * 0.5e0 * steepness) AS INT) AS b FROM " + _CELL_COLOURS + " v")
+# one flat colour for a cell: half its way through the colour space, or the first colour where it has no direction
+_HALF = with_rgb(f"""(SELECT c.track, c.frame, c.band, c.direction = 0 OR c.steepness < 0.001e0 AS flat, a.r AS ar, a.g AS ag, a.b AS ab, a.lab_l + (b.lab_l - a.lab_l) * 0.5e0 * c.steepness AS l, a.lab_a + (b.lab_a - a.lab_a) * 0.5e0 * c.steepness AS aa,
+  a.lab_b + (b.lab_b - a.lab_b) * 0.5e0 * c.steepness AS bb FROM cells c JOIN band_dim d ON d.band = c.band JOIN {LAB} a ON a.name = d.color_a JOIN {LAB} b ON b.name = d.color_b)""", "l", "aa", "bb")
+shared("cell_midpoint", f"SELECT track, frame, band, CASE WHEN flat THEN ar ELSE red END AS r, CASE WHEN flat THEN ag ELSE green END AS g, CASE WHEN flat THEN ab ELSE blue END AS b FROM {_HALF} v")
 # a cell is read at a quarter and at three quarters; at this width both fall on pixels
 _SIDES = PROJECTED.format(table=f"(SELECT * FROM {PIXELS} v WHERE px = {WIDTH // 4} OR px = {3 * WIDTH // 4})")
 _READ = f"""(SELECT track, frame, band, least(1e0, 2e0 * abs(diff)) AS steepness, CASE WHEN abs(diff) < 0.008e0 THEN 0 WHEN diff > 0e0 THEN 1 ELSE -1 END AS direction, conf FROM
@@ -44,10 +48,33 @@ shared("degrade_cast", f"SELECT track, band, x, CAST(least(255e0, floor(r * 1.2e
 shared("degrade_blur", f"""SELECT v.track, band, x, CAST(floor(sum(r * w) / sum(w) + 1e-9) AS INT) AS r FROM
   (SELECT p.track, p.band, p.x + k.i - 2 AS x, p.r, CASE abs(k.i - 2) WHEN 0 THEN 6e0 WHEN 1 THEN 4e0 ELSE 1e0 END AS w FROM {PIXELS} p CROSS JOIN RANGE(0, 5) k) v
   JOIN counts n ON n.track = v.track WHERE x >= 0 AND x < n.n_frames * {WIDTH} GROUP BY v.track, band, x""")
-_FADED = PROJECTED.format(table=f"(SELECT q.track, q.frame, q.band, q.px, q.ar, q.ag, q.ab, q.vr, q.vg, q.vb, f.i AS tenth, floor(q.r * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS r, floor(q.g * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS g, floor(q.b * (1e0 - f.i / 10e0) + 128e0 * f.i / 10e0) AS b FROM {PIXELS} q CROSS JOIN RANGE(0, 6) f WHERE q.px IN (2, 6))")
-shared("degrade_sweep", f"""SELECT s.tenth, d.layer, round(avg(conf), 6) AS alpha, round(avg(abs(least(1e0, 2e0 * abs(diff)) - c.steepness)), 6) AS mae FROM
-  (SELECT track, frame, band, tenth, sum(CASE WHEN px = 2 THEN -t ELSE t END) AS diff, avg(conf) AS conf FROM {_FADED} v GROUP BY track, frame, band, tenth) s
-  JOIN cells c ON c.track = s.track AND c.frame = s.frame AND c.band = s.band JOIN band_dim d ON d.band = s.band GROUP BY s.tenth, d.layer""")
+# conditions of the sweep: pixels that a cell is read at, after each of them
+_SIDE_PIXELS = f"(SELECT * FROM {PIXELS} v WHERE px = {WIDTH // 4} OR px = {3 * WIDTH // 4})"
+_KEYS = "track, frame, band, px, x, ar, ag, ab, vr, vg, vb"
+_POINTWISE = "(SELECT * FROM (VALUES ('baseline', 0e0), ('fade', 0.1e0), ('fade', 0.2e0), ('fade', 0.3e0), ('fade', 0.5e0), ('noise', 5e0), ('noise', 10e0), ('noise', 20e0), ('noise', 40e0), ('cast', 1e0)) AS t(kind, level))"
+
+
+def _even(seed: float) -> str:
+    """SQL: a number in 0 to 1 that pixel and seed decide."""
+    v = f"(sin((x * 48 + band) * 12.9898e0 + {seed!r}e0) * 43758.5453e0)"
+    return f"({v} - floor({v}))"
+
+
+def _condition(channel: str, cast: float, seed: float) -> str:
+    normal = f"sqrt(-2e0 * ln(greatest(1e-9, {_even(seed)}))) * cos({2 * math.pi!r}e0 * {_even(seed + 39.425)})"
+    return f"""CAST(floor(CASE kind WHEN 'fade' THEN {channel} * (1e0 - level) + 128e0 * level + 1e-9 WHEN 'noise' THEN least(255e0, greatest(0e0, {channel} + level * {normal}))
+      WHEN 'cast' THEN least(255e0, {channel} * {cast!r}e0 + 1e-9) ELSE {channel} END) AS DOUBLE) AS {channel}"""
+
+
+_CHANGED = f"SELECT {_KEYS}, kind, level, {_condition('r', 1.2, 11.0)}, {_condition('g', 0.9, 23.0)}, {_condition('b', 0.8, 37.0)} FROM {_SIDE_PIXELS} s CROSS JOIN {_POINTWISE} k"
+_TAPS = "(SELECT level, d.i - 24 AS d, exp(-(d.i - 24) * (d.i - 24) / (2e0 * level * level)) AS w FROM (SELECT CAST(v AS DOUBLE) AS level FROM (VALUES (1), (2), (3), (5), (8)) AS t(v)) s CROSS JOIN RANGE(0, 49) d WHERE abs(d.i - 24) <= 3e0 * level)"
+_BLURRED = f"""SELECT s.{_KEYS.replace(', ', ', s.')}, 'blur' AS kind, level, {", ".join(f"CAST(floor(sum(n.{c} * w) / sum(w) + 1e-9) AS DOUBLE) AS {c}" for c in "rgb")}
+  FROM (SELECT p.*, level, p.x + d AS near_x, w FROM {_SIDE_PIXELS} p CROSS JOIN {_TAPS} k) s JOIN {PIXELS} n ON n.track = s.track AND n.band = s.band AND n.x = s.near_x GROUP BY s.{_KEYS.replace(', ', ', s.')}, level"""
+_SWEPT = PROJECTED.format(table=f"({_CHANGED} UNION ALL {_BLURRED})")
+shared("degrade_sweep", f"""SELECT s.kind, s.level, d.layer, round(avg(conf), 6) AS alpha, round(avg(abs(least(1e0, 2e0 * abs(diff)) - c.steepness)), 6) AS mae,
+  round(avg(CASE WHEN (CASE WHEN abs(diff) < 0.008e0 THEN 0 WHEN diff > 0e0 THEN 1 ELSE -1 END) = c.direction THEN 1e0 ELSE 0e0 END), 6) AS accuracy FROM
+  (SELECT track, frame, band, kind, level, sum(CASE WHEN px = {WIDTH // 4} THEN -t ELSE t END) AS diff, avg(conf) AS conf FROM {_SWEPT} v GROUP BY track, frame, band, kind, level) s
+  JOIN cells c ON c.track = s.track AND c.frame = s.frame AND c.band = s.band JOIN band_dim d ON d.band = s.band GROUP BY s.kind, s.level, d.layer""")
 
 # geometry
 shared("strip_rows", "SELECT band, 4 * (47 - band) + CASE WHEN band < 8 THEN 4 WHEN band < 24 THEN 2 ELSE 0 END AS top, 4 * (47 - band) + CASE WHEN band < 8 THEN 4 WHEN band < 24 THEN 2 ELSE 0 END + 2 AS sample_y FROM band_dim")

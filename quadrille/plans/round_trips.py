@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -9,11 +11,14 @@ from quadrille.catalog import query
 from quadrille.functions.dims import band_table
 from quadrille.operators import codec
 from quadrille.operators.framing import analysed
-from quadrille.plans import dialect
+from quadrille.plans import api, dialect
 from quadrille.plans.base import RELATIONS, oracle, run
 from quadrille.sources import container, layout, signals, wav
 
 
+RATES = (6.0, 12.0, 32.0, 96.0)
+
+
 def _encoded(spark: SparkSession, sf_dir: str, kbps: float = 12.0) -> DataFrame:
     return codec.encode(signals.event_signal(spark, sf_dir), kbps)
 
@@ -49,6 +54,16 @@ def roundtrip_snr(spark, sf_dir):
     return codec.snr(signal, codec.decode(codec.encode(signal, 32.0)))
 
 
+@query("snr_matrix")
+def snr_matrix(spark, sf_dir):
+    """Signals by bitrates: a second of each generated signal, coded and decoded."""
+    n = 44100
+    kinds = [signals.tones(spark, n, ((hz, 0.5),), f"tone{hz:.0f}") for hz in (440.0, 1000.0, 4000.0)]
+    kinds += [signals.tones(spark, n), signals.noise(spark, n), signals.chirp(spark, n)]
+    report = api.bench(reduce(DataFrame.unionByName, kinds), RATES)
+    return report.select("track", *(F.col(f"`{r}`").alias(f"snr_{r:.0f}") for r in RATES))
+
+
 @query("huffman_roundtrip", "SELECT 'all' AS track, TRUE AS same, CAST((count(*) + 1024) // 1024 + 1 AS BIGINT) AS frames FROM events")
 def huffman_roundtrip(spark, sf_dir):
     frames = _encoded(spark, sf_dir)

@@ -92,9 +92,6 @@ shared("loud_quiet_ratio", "SELECT track, round(sqrt(avg(CASE WHEN n < 4096 THEN
 shared("tone_signal", "SELECT track, CAST(n AS BIGINT) AS n, round(x, 9) AS x FROM tone", lambda s, d: signals.tones(s, 8192).select("track", "n", F.round("x", 9).alias("x")))
 shared("signal_snr", """SELECT s.track, count(*) AS n, round(20e0 * log10(sqrt(avg(s.x * s.x)) / (sqrt(avg(pow(s.x - round(s.x, 3), 2e0))) + 1e-12)), 6) AS snr_db FROM signal s
   JOIN (SELECT track, max(n) AS m FROM signal GROUP BY track) e ON e.track = s.track WHERE s.n >= 2048 AND s.n < e.m + 1 - 2048 GROUP BY s.track""")
-shared("snr_matrix", """SELECT s.track, round(sum(CASE WHEN d.p = 1 THEN v.snr END), 6) AS p1, round(sum(CASE WHEN d.p = 2 THEN v.snr END), 6) AS p2, round(sum(CASE WHEN d.p = 3 THEN v.snr END), 6) AS p3
-  FROM (SELECT DISTINCT track FROM type_signal) s JOIN (SELECT track, p, 20e0 * log10(sqrt(avg(x * x)) / (sqrt(avg(pow(x - RINT(x * pow(10e0, p)) / pow(10e0, p), 2e0))) + 1e-12)) AS snr
-    FROM type_signal CROSS JOIN (SELECT i AS p FROM RANGE(1, 4) t) g GROUP BY track, p) v ON v.track = s.track JOIN (SELECT i AS p FROM RANGE(1, 4) t) d ON d.p = v.p GROUP BY s.track""")
 
 
 def _hops(spark, sf_dir):

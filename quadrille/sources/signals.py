@@ -49,6 +49,13 @@ def chirp(spark: SparkSession, n: int, low: float = 100.0, high: float = 20000.0
     return spark.range(n).select(F.lit(track).alias("track"), F.col("id").alias("n"), (amplitude * F.sin(phase)).alias("x"))
 
 
+def noise(spark: SparkSession, n: int, amplitude: float = 0.1, seed: int = 42, track: str = "noise") -> DataFrame:
+    """White noise: each sample is normal, decided by its number and the seed, however the rows are dealt."""
+    even = lambda k: (F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    x = amplitude * F.sqrt(-2 * F.log(even(0))) * F.cos(2 * 3.141592653589793 * even(1))
+    return spark.range(n).select(F.lit(track).alias("track"), F.col("id").alias("n"), x.alias("x"))
+
+
 def ramp(spark: SparkSession, n: int, track: str = "ramp") -> DataFrame:
     """440 Hz in the first half, silence after."""
     return tones(spark, n, ((440.0, 0.5),), track, n // 2)

@@ -132,3 +132,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert len(wav.samples(bytes(spark.read.parquet(out).first().payload))) == 5 * 1024
     main(["layout", coded, doc, "--mode", "2"], spark)
     assert json.loads(spark.read.text(doc).first().value)["n_bands"] == 48
+
+
+def test_results_as_json(spark, tmp_path):
+    reads = spark.createDataFrame([("a", 0, 3, 0.25, 1), ("a", 1, 3, None, -1)], "track string, frame int, band int, steepness double, direction int")
+    api.write_results(reads, str(tmp_path / "reads"))
+    back = spark.read.schema(reads.schema).json(str(tmp_path / "reads"))
+    assert sorted(map(tuple, back.collect()), key=lambda r: r[1]) == sorted(map(tuple, reads.collect()), key=lambda r: r[1])
+
+
+def test_noise_is_white_and_repeatable(spark):
+    one, two = (np.array([r.x for r in signals.noise(spark, 20000).repartition(k).orderBy("n").collect()]) for k in (1, 7))
+    assert (one == two).all() and abs(one.std() - 0.1) < 0.005 and abs(one.mean()) < 0.005
+    assert abs(np.corrcoef(one[1:], one[:-1])[0, 1]) < 0.05
