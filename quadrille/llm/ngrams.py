@@ -62,6 +62,11 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(first)
 
 
+def digest(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """What was asked, in one number: pairs in their order."""
+    return np.array([(pair_hash(v, w) * (2 * np.arange(len(v), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64)])
+
+
 def pair_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return mix(v * np.uint64(0x9E3779B97F4A7C15) + mix(w))
 
@@ -174,9 +179,6 @@ def mapped(*arrays: np.ndarray) -> list[np.ndarray]:
     """The arrays in a file without a name, mapped into memory: pages that are not in use need not stay."""
     out = []
     with tempfile.TemporaryFile() as f:
-        for x in arrays:
-            f.seek(0)
-            f.truncate()
         spots = []
         for x in arrays:
             spots.append(f.tell())
@@ -211,7 +213,7 @@ def pair_shards(told: DataFrame, parts: int, tasks: int) -> DataFrame:
             out = []
             for src, av, aw, _ in asked:
                 at = np.searchsorted(model_keys, pair_hash(av, aw))
-                out.append(_row(src, PAIR_ANSWERS, shard[0].column(0)[0].as_py(), (np.asarray(model_counts[at]),)))
+                out.append(_row(src, PAIR_ANSWERS, shard[0].column(0)[0].as_py(), (np.asarray(model_counts[at]), digest(av, aw))))
             seen = np.asarray(model_counts)
             trained = seen > 0
             v, w, seen = v[trained], w[trained], seen[trained]
@@ -326,7 +328,7 @@ def scored(batches: Iterator[pa.RecordBatch], model: Model, frequent: np.ndarray
         texts = [b for b in (b.filter(pa.array(b.column(1).to_numpy(zero_copy_only=False) == TEXT)) for b in block) if b.num_rows]
         if not texts:
             continue
-        answers = {kind: dict(_blobs(block, kind, (np.uint64,) * n)) for kind, n in ((PAIR_ANSWERS, 1), (WORD_ANSWERS, 5))}
+        answers = {kind: dict(_blobs(block, kind, (np.uint64,) * n)) for kind, n in ((PAIR_ANSWERS, 2), (WORD_ANSWERS, 5))}
         del block
         ids = pa.concat_arrays([b.column(b.num_columns - 1).flatten() for b in texts])
         held = np.concatenate([np.frombuffer(x.as_py(), bool) for b in texts for x in b.column(3)])
@@ -336,10 +338,11 @@ def scored(batches: Iterator[pa.RecordBatch], model: Model, frequent: np.ndarray
         first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(f) for _, f in parts_of]))))
         del parts_of
         tables = Tables(token, first, ~held, frequent, parts)
-        pair = np.concatenate([answers[PAIR_ANSWERS][k][0] for k, _ in _cuts(tables.pair_shard)])
-        word = [np.concatenate([answers[WORD_ANSWERS][k][i] for k, _ in _cuts(tables.word_shard)]) for i in range(5)]
-        if len(pair) != len(tables.v) or len(word[0]) != len(tables.word):
+        cuts = list(_cuts(tables.pair_shard))
+        if set(answers[PAIR_ANSWERS]) != {k for k, _ in cuts} or any(answers[PAIR_ANSWERS][k][1] != digest(tables.v[at], tables.w[at]) for k, at in cuts):
             raise RuntimeError("a block changed between two scans: write the table before it is scored")
+        pair = np.concatenate([answers[PAIR_ANSWERS][k][0] for k, _ in cuts])
+        word = [np.concatenate([answers[WORD_ANSWERS][k][i] for k, _ in _cuts(tables.word_shard)]) for i in range(5)]
         count, after = word[0].astype(np.int64), word[1].astype(np.int64)
         at_v, at_w = tables.word_places(tables.v), tables.word_places(tables.w)
         share = model.pair_share(pair.astype(np.int64), count[at_v], tuple(x[at_v] for x in word[2:]), model.word_share(after)[at_w])

@@ -3,7 +3,9 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-from quadrille.llm.ngrams import discounts, score_texts
+import numpy as np
+
+from quadrille.llm.ngrams import digest, discounts, score_texts
 from tests.llm.conftest import ODD
 
 WORD = "[^\x20\x09-\x0d]+"
@@ -76,3 +78,10 @@ def test_shares_of_a_context_add_up_to_one(spark):
     probe = [(1000 + i, f"a {w}") for i, w in enumerate(words)]
     probe = [(i, t) for i, t in probe]
     same(score_texts(spark.createDataFrame(docs + probe, "doc_id long, text string")).collect(), list(brute(docs + probe)))
+
+
+def test_other_texts_have_another_digest():
+    v, w = np.array([3, 4, 5], np.uint64), np.array([7, 8, 9], np.uint64)
+    assert digest(v, w) == digest(v.copy(), w.copy())
+    assert digest(v, w) != digest(v, w[::-1]) and digest(v, w) != digest(v[::-1], w[::-1])
+    assert digest(v, w) != digest(v, np.array([7, 8, 10], np.uint64)) and digest(v[:0], w[:0]) == 0
