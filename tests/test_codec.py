@@ -124,3 +124,20 @@ def test_wav_files(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(wav.encoded(x))
     got = column(wav.read_wav(spark, str(tmp_path)))
     assert np.allclose(got, [0, 0.49997, -0.49997, 0.99997, -1.0], atol=1e-4)
+
+
+def test_resampling_joins_no_table_of_outputs(spark):
+    """A grid of outputs out of one row a track was taken for small and broadcast, however long the track."""
+    df = spark.range(5000).selectExpr("CASE WHEN id % 5 = 0 THEN 'a' ELSE 'b' END AS track", "CASE WHEN id % 5 = 0 THEN id DIV 5 ELSE id - id DIV 5 - 1 END AS n", "sin(id) AS x")
+    x = {t: df.where(f"track = '{t}'").orderBy("n").toPandas()["x"].to_numpy() for t in "ab"}
+    out = resample.at_speed(df, 0.5)
+    rows = out.toPandas()
+    for t, want in x.items():
+        got = rows[rows["track"] == t].sort_values("n")
+        assert got["n"].tolist() == list(range(2 * len(want))) and np.allclose(got["x"], np.interp(np.linspace(0, len(want) - 1, 2 * len(want)), np.arange(len(want)), want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan
+    one = spark.createDataFrame([("c", 0, 0.25)], "track string, n long, x double")
+    assert sorted(map(tuple, resample.at_speed(one, 0.5).collect())) == [("c", 0, 0.25), ("c", 1, 0.25)]
+    gap = spark.createDataFrame([("d", 0, 1.0), ("d", 1, 1.0), ("d", 2000, 1.0)], "track string, n long, x double")
+    assert sorted(r.n for r in resample.at_speed(gap, 0.5).collect()) == [0, 1, 2, 3, 4, 3999, 4000, 4001]
