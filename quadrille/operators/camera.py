@@ -6,7 +6,7 @@ that no pixel but those around the sample points is looked up."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,13 +101,14 @@ def placed(points: DataFrame, maps: DataFrame) -> DataFrame:
     return points.join(maps, "img").withColumn("u", row(0) / row(2)).withColumn("v", row(1) / row(2)).drop("h")
 
 
-def sampled(points: DataFrame, pixels: DataFrame) -> DataFrame:
-    """points (img, ..., u, v) with r, g, b: each asks for its four neighbours, an equi-join, and sums what it gets."""
+def sampled(points: DataFrame, pixels: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """points (img, ..., u, v) with r, g, b: each asks for its four neighbours, an equi-join, and sums what it gets.
+    pixels: a table, or what adds r, g, b to places (img, y, x, ...) and leaves out those outside of the photograph."""
     keys = points.columns
     fu, fv = F.col("u") - F.floor("u"), F.col("v") - F.floor("v")
     near = F.array(*(F.struct((F.floor("u") + i).cast("int").alias("x"), (F.floor("v") + j).cast("int").alias("y"), ((fu if i else 1 - fu) * (fv if j else 1 - fv)).alias("w")) for i in (0, 1) for j in (0, 1)))
     asked = points.select(*keys, F.explode(near).alias("c")).select(*keys, "c.x", "c.y", "c.w")
-    met = asked.join(pixels.select("img", "y", "x", "r", "g", "b"), ["img", "y", "x"])
+    met = pixels(asked) if callable(pixels) else asked.join(pixels.select("img", "y", "x", "r", "g", "b"), ["img", "y", "x"])
     return met.groupBy(*keys).agg(*((F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(c) for c in "rgb"))
 
 

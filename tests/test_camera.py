@@ -42,3 +42,14 @@ def test_marks_and_colours_are_made_without_the_grid_of_the_photograph(spark, mo
     shown = camera_queries._shown(spark, SF, spark.createDataFrame([("a", *f) for f in sorted(found)], "img string, y int, x int"))
     got = list(map(tuple, shown.collect()))
     assert len(want) > 300 and len(got) == len(want) and set(got) == want
+
+
+def test_places_get_the_colours_of_the_photograph(spark):
+    photo = {(r.y, r.x): (r.r, r.g, r.b) for r in catalog.QUERIES["photo_pixels"](spark, SF).collect()}
+    high, wide = max(y for y, _ in photo) + 1, max(x for _, x in photo) + 1
+    places = [("all", y, x, float(x)) for y in range(-1, high + 1, 7) for x in range(-1, wide + 1)]
+    got = camera_queries._looked_up(spark, SF)(spark.createDataFrame(places, "img string, y int, x int, w double")).collect()
+    assert {(r.y, r.x): (r.r, r.g, r.b) for r in got} == {(y, x): photo[y, x] for _, y, x, _ in places if (y, x) in photo}
+    assert all(r.w == r.x for r in got)
+    want = {k for k, (r, g, b) in photo.items() if r > 200 and g < 50 and b > 200}
+    assert want == {(r.y, r.x) for r in catalog.QUERIES["fiducial_mask"](spark, SF).collect()}
