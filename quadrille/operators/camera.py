@@ -24,6 +24,20 @@ def marks(pixels: DataFrame) -> DataFrame:
     return pixels.where("r > 200 AND g < 50 AND b > 200").select("img", "y", "x")
 
 
+def may_blend_to_mark(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
+    """Whether `marks` may take a colour on the way from a to b for a mark; a level is allowed for rounding."""
+    lo, hi = 0.0, 1.0
+    for p, q, sign, bound in zip(a, b, (1, -1, 1), (200, -51, 200)):  # sign * (p + (q - p) * t) >= bound
+        start, slope = sign * p - bound, sign * (q - p)
+        if slope > 0:
+            lo = max(lo, -start / slope)
+        elif slope < 0:
+            hi = min(hi, -start / slope)
+        elif start < 0:
+            return False
+    return lo <= hi
+
+
 def mark_blobs(pixels: DataFrame) -> DataFrame:
     """(img, label, area, cx, cy, aspect) of connected marks."""
     return joined(marks(pixels))

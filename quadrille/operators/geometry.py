@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -12,15 +15,22 @@ def runs(mask: DataFrame) -> DataFrame:
     return mask.select("img", "y", "x", (F.col("x") - nth).alias("island")).groupBy("img", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """(img, y, x0, x1, label): runs that touch share the smallest label; labels are halved in distance by hopping
-    over labels of labels, and every round is a checkpoint."""
+#: Runs that one task joins; more are joined in rounds over the whole cluster.
+IN_TASK = 1 << 16
+
+
+def components(mask: DataFrame, in_task: int = IN_TASK) -> DataFrame:
+    """(img, y, x0, x1, label): runs that touch share the smallest label. Few runs are joined by one task; of many, labels
+    are halved in distance by hopping over labels of labels, and every round is a checkpoint."""
     spark = mask.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-"))
-    node = runs(mask).withColumn("id", F.shiftleft(F.col("y").cast("long"), 32) + F.col("x0")).checkpoint()
+    node = runs(mask).where("img IS NOT NULL").withColumn("id", F.shiftleft(F.col("y").cast("long"), 32) + F.col("x0")).checkpoint()
+    if node.count() <= in_task:
+        kinds = ", ".join(f"{c} {node.schema[c].dataType.simpleString()}" for c in ("img", "y", "x0", "x1"))
+        return node.coalesce(1).mapInPandas(_joined, f"{kinds}, label long")
     a, b = node.alias("a"), node.alias("b")
     touch = a.join(b, (F.col("a.img") == F.col("b.img")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("b.x1") >= F.col("a.x0")))
     links = touch.select(F.col("a.img").alias("img"), F.col("a.id").alias("u"), F.col("b.id").alias("v"))
@@ -36,6 +46,30 @@ def components(mask: DataFrame) -> DataFrame:
             return node.join(labels, ["img", "id"]).select("img", "y", "x0", "x1", "label")
 
 
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Labels all runs of a table: those of a row are sorted and apart, so what touches one in the next row is a stretch."""
+    if not (parts := [b for b in batches if len(b)]):
+        return
+    all_runs = pd.concat(parts).sort_values(["img", "id"], ignore_index=True)
+    img, y, x0, x1 = pd.factorize(all_runs["img"])[0], *(all_runs[c].to_numpy(np.int64) for c in ("y", "x0", "x1"))
+    begins = np.append(True, (img[1:] != img[:-1]) | (y[1:] != y[:-1]))[: len(img)]
+    row, first = np.cumsum(begins) - 1, np.flatnonzero(begins)
+    follows = np.append((img[first[1:]] == img[first[:-1]]) & (y[first[1:]] == y[first[:-1]] + 1), False)[: len(first)]
+    at = lambda r, x: (r << 32) + x - x0.min()
+    above = np.flatnonzero(follows[row])
+    lo = np.searchsorted(at(row, x1), at(row[above] + 1, x0[above]), "left")
+    hi = np.searchsorted(at(row, x0), at(row[above] + 1, x1[above]), "right")
+    n = hi - lo
+    u, v = np.repeat(above, n), np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+    labels = np.arange(len(img))
+    while (apart := labels[u] != labels[v]).any():
+        u, v = u[apart], v[apart]
+        np.minimum.at(labels, np.maximum(labels[u], labels[v]), np.minimum(labels[u], labels[v]))
+        while (labels != (hop := labels[labels])).any():
+            labels = hop
+    yield all_runs[["img", "y", "x0", "x1"]].assign(label=all_runs["id"].to_numpy()[labels])
+
+
 def blobs(labelled: DataFrame) -> DataFrame:
     """(img, label, area, cx, cy, aspect)"""
     n = F.col("x1") - F.col("x0") + 1

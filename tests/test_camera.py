@@ -3,7 +3,8 @@
 import numpy as np
 
 from quadrille import catalog
-from quadrille.operators import camera
+from quadrille.functions.dims import LAYER_PAIRS, PALETTE
+from quadrille.operators import camera, geometry
 from quadrille.plans import base, camera_queries
 from tests.conftest import SF
 
@@ -53,3 +54,33 @@ def test_places_get_the_colours_of_the_photograph(spark):
     assert all(r.w == r.x for r in got)
     want = {k for k, (r, g, b) in photo.items() if r > 200 and g < 50 and b > 200}
     assert want == {(r.y, r.x) for r in catalog.QUERIES["fiducial_mask"](spark, SF).collect()}
+
+
+def test_marks_are_found_without_making_the_cells(spark, monkeypatch):
+    want = {(r.y, r.x) for r in catalog.QUERIES["photo_pixels"](spark, SF).where("r > 200 AND g < 50 AND b > 200").collect()}
+
+    def never(*_):
+        raise AssertionError("cells are made")
+
+    monkeypatch.setitem(base.RELATIONS, "cells", base.Relation(base.RELATIONS["cells"].sql, never))
+    got = [(r.y, r.x) for r in catalog.QUERIES["fiducial_mask"](spark, SF).collect()]
+    assert len(want) > 300 and len(got) == len(want) and set(got) == want
+
+
+def test_blends_that_may_be_marks():
+    way = np.linspace(0, 1, 2001)[:, None]
+    rng = np.random.default_rng(3)
+    pairs = [tuple(map(tuple, rng.choice([0, 20, 60, 190, 210, 255], (2, 3)).tolist())) for _ in range(300)] + [(PALETTE[a], PALETTE[b]) for p in LAYER_PAIRS for a, b in p]
+    for a, b in pairs:
+        r, g, v = np.floor(np.array(a) + (np.array(b) - np.array(a)) * way).T
+        assert camera.may_blend_to_mark(a, b) == bool(((r > 200) & (g < 50) & (v > 200)).any())
+
+
+def test_one_task_labels_as_rounds_do(spark):
+    rng = np.random.default_rng(9)
+    at = {(img, int(y), int(x)) for img, share in (("a", 0.55), ("b", 0.4)) for y, x in np.argwhere(rng.random((60, 50)) < share)}
+    at -= {("a", 30, x) for x in range(50)}  # a row without any
+    mask = spark.createDataFrame([*sorted(at), (None, 1, 1)], "img string, y int, x int")
+    once, rounds = (sorted(map(tuple, geometry.components(mask, n).collect())) for n in (geometry.IN_TASK, 0))
+    assert once == rounds and 20 < len({r[::4] for r in once}) < len(once)
+    assert geometry.components(mask.limit(0)).count() == 0
