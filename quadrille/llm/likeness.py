@@ -10,7 +10,9 @@ Every link is verified on the whole sets. To join groups, not all their pairs ar
 is held against one other that shares a shingle, so that groups grow together; only then are those held against each other that are still in different groups and that
 their parity fingerprints allow. Bit k of these tells whether the set has an odd number of shingles of class k, so every
 shingle that only one of two sets has flips one bit, and the Hamming distance is never more than their difference,
-which is at most (n + m) / 9 at a similarity of 0.8: what is discarded by it is no link for certain.
+which is at most (n + m) / 9 at a similarity of 0.8: what is discarded by it is no link for certain. Of all shingles that two
+texts share, the first in the order brings them together: all that stand before it are in one of the sets only, so they count
+as difference; and where one of the few before it is shared too, it is not the first.
 
 Defined cases: A-Z are lower-cased; a text of fewer words than a shingle is one shingle; texts without words are alike;
 texts with equal sets are one node; a row with a null id takes part by its text but never names a group unless all
@@ -39,6 +41,8 @@ CHUNK = 1 << 20
 PARITY = 8
 #: Rounds in which each text is held against one other of a different group, before groups are held against each other.
 ROUNDS = 4
+#: Shingles before a shared one that two texts compare to know whether it is their first.
+BEFORE = 8
 
 
 @dataclass(frozen=True)
@@ -206,6 +210,24 @@ def _may_be_alike(rule: Likeness, a: str, b: str, m: str | None = None):
     return (100 * F.least(n, m) >= rule.percent * F.greatest(n, m)) & (differing <= rule.most_apart(n, m))
 
 
+def _first_shared(rule: Likeness, a: str, b: str):
+    """Whether the shingle that two rows share, at places i and j of their sets, may be the first they share and they alike."""
+    i, j, n, m = (F.col(c).cast("long") for c in (f"{a}.pos", f"{b}.pos", f"{a}.n", f"{b}.n"))
+    return (i + j + F.abs((n - i) - (m - j)) <= rule.most_apart(n, m)) & ~F.arrays_overlap(F.col(f"{a}.before"), F.col(f"{b}.before"))
+
+
+def _across(marked: DataFrame, keys: DataFrame, parity: DataFrame, rule: Likeness) -> DataFrame:
+    """Pairs (u, v) of different groups that share one of keys and may be alike: once for each shingle that may be the first they share."""
+    still = marked.join(keys, "key", "left_semi").groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "key"))).alias("at")).join(parity, "node")
+    odds = [f"odd{i}" for i in range(PARITY)]
+    still = still.select("node", "label", "n", *odds, F.col("at.key").alias("keys"), F.posexplode("at").alias("k", "one"))
+    before = F.slice("keys", F.greatest(F.lit(1), F.col("k") + 1 - BEFORE), F.least(F.lit(BEFORE), F.col("k")))
+    still = still.select("node", "label", "n", *odds, "one.key", "one.pos", before.alias("before"))
+    a, b = still.alias("a"), still.alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & _first_shared(rule, "a", "b") & _may_be_alike(rule, "a", "b")
+    return a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+
+
 def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Likeness = Likeness()) -> DataFrame:
     """(id, component_id) for each row of df: the smallest id of all that links reach."""
     spark = df.sparkSession
@@ -225,7 +247,7 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     held = docs.select("node", F.explode("prefix").alias("key"))
     shared = written(held.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("key"), "shared")
     release_shuffles(spark)
-    met = written(docs.select("node", "n", F.explode("prefix").alias("key")).join(shared, "key").distinct(), "met")
+    met = written(docs.select("node", "n", F.posexplode("prefix").alias("pos", "key")).join(shared, "key").distinct(), "met")
     release_shuffles(spark)
     odds = [f"odd{i}" for i in range(PARITY)]
     parity = nodes.select("node", *odds)
@@ -236,10 +258,7 @@ def alike_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         heads = marked.groupBy("key").agg(F.min_by(F.struct("node", "label", "n"), order).alias("head"), F.min("label").alias("lo"), F.max("label").alias("hi"))
         heads = heads.where("lo <> hi").select("key", "head")
         if step == ROUNDS:
-            still = marked.join(heads.select("key"), "key", "left_semi").join(parity, "node")
-            a, b = still.alias("a"), still.alias("b")
-            apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.label") < F.col("b.label")) & _may_be_alike(rule, "a", "b")
-            pairs = a.join(b, apart).select(F.col("a.node").alias("u"), F.col("b.node").alias("v"))
+            pairs = _across(marked, heads.select("key"), parity, rule)
         else:
             pairs = marked.join(heads, "key").where("label <> head.label").select(F.col("node").alias("u"), F.col("head.node").alias("v"), "n", F.col("head.n").alias("m"))
             votes = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("votes")).alias("p")

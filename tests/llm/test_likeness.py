@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from quadrille.llm.likeness import BUCKETS, Likeness, Sets, alike_components, keep_one_of_each
+from quadrille.llm.likeness import BUCKETS, PARITY, Likeness, Sets, _across, alike_components, keep_one_of_each
 
 
 def brute_alike(docs, percent=80):
@@ -71,6 +71,20 @@ def test_parities_never_differ_in_more_than_the_sets():
             assert int(np.bitwise_count(odd[i] ^ odd[j]).sum()) <= len(set(sets[i].tolist()) ^ set(sets[j].tolist()))
 
 
+def test_pairs_meet_at_the_first_shingle_they_share(spark):
+    rng, rule, sets = random.Random(6), Likeness(), []
+    for _ in range(12):
+        base = rng.sample(range(2000), 120)
+        sets += [sorted({k if rng.random() > share else rng.randrange(2000) for k in base}) for share in (0, 0.05, 0.1, 0.2, 0.5)]
+    prefixes = [s[: len(s) - rule.least_common(len(s)) + 1] for s in sets]  # the order is that of the numbers
+    marked = spark.createDataFrame([(i, i, len(sets[i]), n, k) for i, p in enumerate(prefixes) for n, k in enumerate(p)], "node long, label long, n int, pos int, key long")
+    parity = spark.range(len(sets)).selectExpr("id AS node", *(f"0L AS odd{i}" for i in range(PARITY)))
+    got = [tuple(r) for r in _across(marked, marked.select("key").distinct(), parity, rule).collect()]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})}
+    shared = sum(len({*prefixes[i]} & {*prefixes[j]}) for j in range(len(sets)) for i in range(j))
+    assert len(want) > 12 and want <= set(got) and len(got) < shared / 4 and len(got) < 2 * len(set(got))
+
+
 def test_odd_rows(odd):
     got = {(r.doc_id, r.component_id) for r in alike_components(odd).collect()}
     assert {(1, 1), (2, 1), (3, 1), (4, 4), (6, 6), (7, 6), (None, None)} <= got
