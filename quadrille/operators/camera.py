@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quadrille.operators.geometry import blobs, components, homography
 
@@ -20,8 +20,8 @@ LEAST_AREA, LEAST_ASPECT, MOST_SHARE = 9, 0.35, 0.15
 
 
 def marks(pixels: DataFrame) -> DataFrame:
-    """(img, y, x) of magenta pixels."""
-    return pixels.where("r > 200 AND g < 50 AND b > 200").select("img", "y", "x")
+    """(img, y, x, ...) of magenta pixels, all but their colour."""
+    return pixels.where("r > 200 AND g < 50 AND b > 200").drop(*"rgb")
 
 
 def may_blend_to_mark(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
@@ -51,48 +51,39 @@ def joined(found: DataFrame) -> DataFrame:
 def likely(found: DataFrame, sizes: DataFrame) -> DataFrame:
     """The blobs that may be marks - square, neither specks nor a large part of the image - and their place by area.
     sizes: (img, width, height)."""
-    square = F.least("aspect", 1 / F.col("aspect"))
-    held = found.join(sizes, "img").where((F.col("area") >= LEAST_AREA) & (F.col("area") <= MOST_SHARE * F.col("width") * F.col("height")) & (square >= LEAST_ASPECT))
-    by_area = Window.partitionBy("img").orderBy(F.col("area").desc(), "label")
-    return held.withColumn("place", F.row_number().over(by_area)).where(F.col("place") <= MOST_MARKS)
-
-
-def _turned(points: list[Column]) -> Column:
-    """Four points in the order of their angles about their middle."""
-    mx, my = sum((p["cx"] for p in points), F.lit(0.0)) / 4, sum((p["cy"] for p in points), F.lit(0.0)) / 4
-    return F.array_sort(F.array(*(F.struct(F.atan2(p["cy"] - my, p["cx"] - mx).alias("angle"), p["cx"].alias("cx"), p["cy"].alias("cy"), p["label"].alias("label")) for p in points)))
-
-
-def quadrilaterals(candidates: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(img, score, quad) of every four candidates: the shoelace area, less the further its sides are from the aspect
-    that wanted (img, wanted) asks for."""
-    one = candidates.select("img", "place", F.struct("label", "cx", "cy").alias("p"))
-    four = one.select("img", F.col("place").alias("last"), F.array("p").alias("ps"))
-    for _ in range(3):
-        four = four.join(one, "img").where("place > last").select("img", F.col("place").alias("last"), F.concat("ps", F.array("p")).alias("ps"))
-    quad = _turned([F.get("ps", F.lit(i)) for i in range(4)])
-    four = four.select("img", quad.alias("quad"))
-    at = lambda i, c: F.get("quad", F.lit(i % 4))[c]
-    area = F.abs(sum((at(i, "cx") * at(i + 1, "cy") - at(i, "cy") * at(i + 1, "cx") for i in range(4)), F.lit(0.0))) / 2
-    span = lambda c: F.array_max(F.transform("quad", lambda p: p[c])) - F.array_min(F.transform("quad", lambda p: p[c]))
-    four = four.join(wanted, "img").withColumn("area", area).withColumn("w", span("cx")).withColumn("h", span("cy")).where("area >= 1 AND h >= 1")
-    return four.withColumn("score", F.col("area") * F.exp(-F.abs(F.log(F.col("w") / F.col("h") / F.col("wanted"))))).select("img", "score", "quad")
+    shaped = f"area >= {LEAST_AREA} AND area <= {MOST_SHARE}e0 * width * height AND least(aspect, 1 / aspect) >= {LEAST_ASPECT}e0"
+    return found.join(sizes, "img").where(shaped).selectExpr("*", "row_number() OVER (PARTITION BY img ORDER BY area DESC, label) AS place").where(f"place <= {MOST_MARKS}")
+
+
+_MIDDLE = {c: f"((a.{c} + b.{c} + c.{c} + d.{c}) / 4)" for c in ("cx", "cy")}
+_QUAD = ", ".join(f"named_struct('angle', atan2({p}.cy - {_MIDDLE['cy']}, {p}.cx - {_MIDDLE['cx']}), 'cx', {p}.cx, 'cy', {p}.cy, 'label', {p}.label)" for p in "abcd")
+_AREA = " + ".join(f"(quad[{i}].cx * quad[{(i + 1) % 4}].cy - quad[{i}].cy * quad[{(i + 1) % 4}].cx)" for i in range(4))
+_SPAN = {c: f"greatest(a.{c}, b.{c}, c.{c}, d.{c}) - least(a.{c}, b.{c}, c.{c}, d.{c})" for c in ("cx", "cy")}
+
+
+def quadrilaterals(candidates: DataFrame) -> DataFrame:
+    """(img, score, quad) of every four candidates (img, wanted, place, label, cx, cy): the shoelace area, less the
+    further its sides are from the wanted aspect; the points of a quad are in the order of their angles about their middle.
+    The few candidates of an image lie in an array that fours are taken from, so no table is joined with itself."""
+    four = candidates.where("img IS NOT NULL").groupBy("img", "wanted").agg(F.expr("collect_list(struct(place, label, cx, cy)) AS ps")).selectExpr("img", "wanted", "ps", "explode(ps) AS a")
+    for last, following in zip("abc", "bcd"):
+        four = four.selectExpr("*", f"explode(filter(ps, p -> p.place > {last}.place)) AS {following}")
+    sized = four.selectExpr("img", "wanted", f"array_sort(array({_QUAD})) AS quad", f"{_SPAN['cx']} AS w", f"{_SPAN['cy']} AS h").selectExpr("*", f"abs({_AREA}) / 2 AS area")
+    return sized.where("area >= 1 AND h >= 1").selectExpr("img", "area * exp(-abs(ln(w / h / wanted))) AS score", "quad")
 
 
 def best_quadrilateral(scored: DataFrame) -> DataFrame:
     """(img, score, quad): the best of each image, the first labels on ties."""
-    labels = F.array_sort(F.transform("quad", lambda p: p["label"]))
-    first = Window.partitionBy("img").orderBy(F.col("score").desc(), "labels")
-    return scored.withColumn("labels", labels).withColumn("n", F.row_number().over(first)).where("n = 1").select("img", "score", "quad")
+    place = "row_number() OVER (PARTITION BY img ORDER BY score DESC, array_sort(transform(quad, p -> p.label))) AS n"
+    return scored.selectExpr("*", place).where("n = 1").select("img", "score", "quad")
 
 
 def corners(best: DataFrame) -> DataFrame:
-    """(img, corner, cx, cy): the two highest are the top, and of two the left one has the smaller x."""
-    points = best.select("img", F.explode("quad").alias("p")).select("img", "p.cx", "p.cy", "p.label")
-    rows = points.withColumn("row", F.row_number().over(Window.partitionBy("img").orderBy("cy", "label")) > 2)
-    side = F.row_number().over(Window.partitionBy("img", "row").orderBy("cx", "label"))
-    name = F.concat(F.when(F.col("row"), "B").otherwise("T"), F.when(side == 1, "L").otherwise("R"))
-    return rows.select("img", name.alias("corner"), "cx", "cy", "label")
+    """(img, corner, cx, cy, label): the two highest are the top, and of two the left one has the smaller x. Four points
+    are sorted inside their row."""
+    by_height = "array_sort(transform(quad, p -> struct(p.cy, p.label, p.cx)))"
+    points = best.selectExpr("img", f"posexplode(array_sort(transform({by_height}, (p, i) -> struct(i >= 2 AS low, p.cx, p.label, p.cy)))) AS (i, p)")
+    return points.selectExpr("img", "element_at(array('TL', 'TR', 'BL', 'BR'), i + 1) AS corner", "p.cx", "p.cy", "p.label")
 
 
 def solved(found: DataFrame) -> DataFrame:

@@ -6,13 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 
 def runs(mask: DataFrame) -> DataFrame:
     """(img, y, x) -> (img, y, x0, x1): stretches of each row, by gaps and islands."""
-    nth = F.row_number().over(Window.partitionBy("img", "y").orderBy("x"))
-    return mask.select("img", "y", "x", (F.col("x") - nth).alias("island")).groupBy("img", "y", "island").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("island")
+    nth = mask.selectExpr("img", "y", "x", "x - row_number() OVER (PARTITION BY img, y ORDER BY x) AS island")
+    return nth.groupBy("img", "y", "island").agg(F.expr("min(x) AS x0"), F.expr("max(x) AS x1")).drop("island")
 
 
 #: Runs that one task joins; more are joined in rounds over the whole cluster.
@@ -27,7 +27,7 @@ def components(mask: DataFrame, in_task: int = IN_TASK) -> DataFrame:
         import tempfile
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quadrille-"))
-    node = runs(mask).where("img IS NOT NULL").withColumn("id", F.shiftleft(F.col("y").cast("long"), 32) + F.col("x0")).checkpoint()
+    node = runs(mask).where("img IS NOT NULL").selectExpr("*", "shiftleft(CAST(y AS BIGINT), 32) + x0 AS id").checkpoint()
     if node.count() <= in_task:
         kinds = ", ".join(f"{c} {node.schema[c].dataType.simpleString()}" for c in ("img", "y", "x0", "x1"))
         return node.coalesce(1).mapInPandas(_joined, f"{kinds}, label long")
@@ -72,9 +72,9 @@ def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def blobs(labelled: DataFrame) -> DataFrame:
     """(img, label, area, cx, cy, aspect)"""
-    n = F.col("x1") - F.col("x0") + 1
-    found = labelled.groupBy("img", "label").agg(F.sum(n).alias("area"), (F.sum((F.col("x0") + F.col("x1")) / 2 * n) / F.sum(n)).alias("cx"), (F.sum(F.col("y") * n) / F.sum(n)).alias("cy"), (F.max("x1") - F.min("x0") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
-    return found.select("img", "label", "area", "cx", "cy", (F.col("w") / F.col("h")).alias("aspect"))
+    n = "(x1 - x0 + 1)"
+    sums = {"area": f"sum{n}", "cx": f"sum((x0 + x1) / 2 * {n}) / sum{n}", "cy": f"sum(y * {n}) / sum{n}", "aspect": "(max(x1) - min(x0) + 1) / (max(y) - min(y) + 1)"}
+    return labelled.groupBy("img", "label").agg(*(F.expr(f"{v} AS {k}") for k, v in sums.items()))
 
 
 def homography(source: list[tuple[float, float]], target: list[tuple[float, float]]) -> np.ndarray:

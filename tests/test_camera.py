@@ -1,5 +1,7 @@
 """The chain from a rendered strip to cells read in a photograph of it."""
 
+from itertools import combinations
+
 import numpy as np
 
 from quadrille import catalog
@@ -84,3 +86,30 @@ def test_one_task_labels_as_rounds_do(spark):
     once, rounds = (sorted(map(tuple, geometry.components(mask, n).collect())) for n in (geometry.IN_TASK, 0))
     assert once == rounds and 20 < len({r[::4] for r in once}) < len(once)
     assert geometry.components(mask.limit(0)).count() == 0
+
+
+def test_the_best_four_and_their_corners(spark):
+    rng = np.random.default_rng(4)
+    points = {img: [(n + 1, 100 + n, *map(float, xy)) for n, xy in enumerate(rng.uniform(0, 300, (count, 2)))] for img, count in (("a", 9), ("b", 4), ("c", 3))}
+    wanted, want = {"a": 1.5, "b": 0.7, "c": 1.0}, {}
+    for img, held in points.items():
+        fours = []
+        for four in combinations(held, 4):
+            mx, my = np.mean([p[2] for p in four]), np.mean([p[3] for p in four])
+            x, y = np.array(sorted(((p[2], p[3]) for p in four), key=lambda p: np.arctan2(p[1] - my, p[0] - mx))).T
+            area = abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2
+            fours.append((area * np.exp(-abs(np.log(np.ptp(x) / np.ptp(y) / wanted[img]))), four))
+        for score, four in sorted(fours)[-1:]:
+            rows = sorted(four, key=lambda p: p[3])
+            want |= {(img, name): (p[1], score) for half, side in ((rows[:2], "T"), (rows[2:], "B")) for name, p in zip((f"{side}L", f"{side}R"), sorted(half, key=lambda p: p[2]))}
+    candidates = spark.createDataFrame([(img, wanted[img], *p) for img, held in points.items() for p in held], "img string, wanted double, place int, label long, cx double, cy double")
+    best = camera.best_quadrilateral(camera.quadrilaterals(candidates)).cache()
+    score = {r.img: r.score for r in best.collect()}
+    got = {(r.img, r.corner): (r.label, score[r.img]) for r in camera.corners(best).collect()}
+    assert len(want) == 8 and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
+
+
+def test_corners_join_no_table_but_the_sizes(spark):
+    plan = catalog.QUERIES["corner_order"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("parquet") == 1
