@@ -99,11 +99,15 @@ def solved(found: DataFrame) -> DataFrame:
     return found.groupBy("img").applyInPandas(one, "img string, h array<double>")
 
 
+def mapped(points: DataFrame) -> DataFrame:
+    """points (img, ..., s, t in the unit square, h) with u and v, where the map h takes them, in place of h."""
+    row = lambda i: f"(h[{3 * i}] * s + h[{3 * i + 1}] * t + h[{3 * i + 2}])"
+    return points.selectExpr("*", f"{row(0)} / {row(2)} AS u", f"{row(1)} / {row(2)} AS v").drop("h")
+
+
 def placed(points: DataFrame, maps: DataFrame) -> DataFrame:
     """points (img, ..., s, t in the unit square) with u and v, where they lie in the photograph."""
-    h = lambda i: F.get("h", F.lit(i))
-    row = lambda i: h(3 * i) * F.col("s") + h(3 * i + 1) * F.col("t") + h(3 * i + 2)
-    return points.join(maps, "img").withColumn("u", row(0) / row(2)).withColumn("v", row(1) / row(2)).drop("h")
+    return mapped(points.join(maps, "img"))
 
 
 def sampled(points: DataFrame, pixels: DataFrame | Callable[[DataFrame], DataFrame]) -> DataFrame:

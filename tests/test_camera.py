@@ -113,3 +113,8 @@ def test_the_best_four_and_their_corners(spark):
 def test_corners_join_no_table_but_the_sizes(spark):
     plan = catalog.QUERIES["corner_order"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and plan.count("parquet") == 1
+
+
+def test_the_map_is_solved_once(spark):
+    plan = catalog.QUERIES["homography_points"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1 and plan.count("Join ") == 1 and plan.count("parquet") == 1
